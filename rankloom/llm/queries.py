@@ -7,13 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, simhash, substring, tokens
+from . import bpe, chat, decontaminate, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.quality_rules(_table(spark, sf_dir, "documents")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +50,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_decontamination": op2_decontamination,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_chat_format": op7_chat_format,
