@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, quality, simhash, substring, tokens
+from . import bpe, chat, decontaminate, html, license, quality, simhash, substring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digest(license.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     ranks = bpe.load_ranks(tokens.model_bytes(spark, ranks_path))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +49,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, model_path: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.model_bytes(spark, model_path))
 
@@ -52,9 +65,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_decontamination": op2_decontamination,
+        "op3_license_scan": op3_license_scan,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_chat_format": op7_chat_format,
+        "op8_html_text": op8_html_text,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
     }
