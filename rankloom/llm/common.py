@@ -31,13 +31,19 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the reliable checkpoint folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -81,6 +87,17 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Key, doc_id, text and the whole row as one struct, so that no other column can clash with working columns."""
+    need(docs, "doc_id", "text")
+    return docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id"), F.col("text"), F.struct("*").alias("__row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of packed rows, in order, some of them changed."""
+    return rows.select(*((changed[c] if c in changed else F.col("__row").getField(c)).alias(c) for c in columns))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that clash with no column of the frame."""
     taken, out = {c.lower() for c in df.columns}, []

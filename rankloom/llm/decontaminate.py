@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, BROADCAST_BYTES, KEY, cut, lookup, need, row_key
+from .common import ASCII_LOWER, ASCII_UPPER, BROADCAST_BYTES, KEY, cut, lookup, need, packed, row_key, unpacked
 from .quality import let
 
 WINDOW = 10
@@ -111,5 +111,4 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns."""
     bad = cut(contamination(docs, benchmark).where("n_hit > 0").select(*KEY).distinct())
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
-    return lookup(keyed, bad, list(KEY), "left_anti").select(*docs.columns)
+    return unpacked(lookup(packed(docs), bad, list(KEY), "left_anti"), docs.columns)

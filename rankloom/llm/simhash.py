@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, need
+from .common import KEY, cut, lookup, need, packed, unpacked
 from .components import components
 
 SHINGLE = 3
@@ -246,19 +246,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id, of equal rows one."""
-    from .common import KEY, fresh, row_key
-
-    flag, *key = fresh(docs, "__keep", *KEY)
-    keyed = docs.select(*(c.alias(n) for c, n in zip(row_key(F.col("doc_id"), F.col("text")), key)), F.col("doc_id").alias("doc_id"), "text")
-    found = near_duplicates(keyed, *key)
+    key = list(KEY)
+    found = near_duplicates(packed(docs).drop("__row"), *key)
     first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), *key)).alias("first"))
-    chosen = cut(first.select(*(F.col(f"first.{k}").alias(k) for k in key), F.lit(True).alias(flag)))
+    chosen = cut(first.select(*(F.col(f"first.{k}").alias(k) for k in key)))
+    kept = lookup(packed(docs), chosen, key, "left_semi")
     # Of rows that are equal in doc_id and text, only one stays.
-    rows = docs.select("*", *(c.alias(n) for c, n in zip(row_key(F.col("doc_id"), F.col("text")), key)))
-    kept = lookup(rows, chosen, key, "inner")
     many = cut(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(chosen, key, "left_semi").select(*key))
     if many.isEmpty():
-        return kept.select(*docs.columns)
-    twice = lookup(kept, many.withColumn("__twice", F.lit(True)), key, "left")
-    once = twice.where(F.col("__twice").isNull()).select(*docs.columns)
-    return once.unionByName(twice.where(F.col("__twice")).dropDuplicates(key).select(*docs.columns))
+        return unpacked(kept, docs.columns)
+    once = lookup(kept, many, key, "left_anti")
+    twice = lookup(kept, many, key, "left_semi").dropDuplicates(key)
+    return unpacked(once.unionByName(twice), docs.columns)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, buckets, lookup, need, row_key
+from .common import KEY, buckets, cut, lookup, need, packed, row_key, unpacked
 
 WINDOW = 35
 #: Words of a block: bounds the memory of a map task; a longer document is a block of its own.
@@ -243,13 +243,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLO
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with a column `spans` of the word intervals to remove (null: none)."""
-    from .common import cut
-
-    need(docs, "doc_id", "text")
+    """doc_id, text and `spans`, the word intervals to remove (null: none), of each row, with the row as a struct `__row`."""
     found = cut(repeated_spans(docs, window, block_words))
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
-    return lookup(keyed, found, list(KEY), row_bytes=256).drop(*KEY)
+    return lookup(packed(docs), found, list(KEY), row_bytes=256)
 
 
 def split_words(text: bytes, spans: list[dict]) -> list[bytes]:
@@ -291,11 +287,19 @@ def digest(docs_with_spans: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with their repeated passages cut from `text`; columns and rows stay, clean texts byte for byte."""
+    """The documents with their repeated passages cut from `text`; columns and rows stay, clean texts byte for byte.
+
+    Where there is a column `n_chars`, it follows the changed texts.
+    """
 
     @F.pandas_udf("string")
     def cleaned(text, spans):
         return text.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else cut_text(t, list(s)))
 
     marked = with_spans(docs, window)
-    return marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans"))).select(*docs.columns)
+    marked = marked.withColumn("new", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans")))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        old = F.col("__row").getField("n_chars")
+        changed["n_chars"] = F.when(F.col("spans").isNull(), old).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(marked, docs.columns, **changed)
