@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, license, quality, simhash, substring, tokens, toxicity
+from . import bpe, chat, decontaminate, html, license, oracles, quality, simhash, substring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracles.QUALITY, "op2_decontamination": oracles.DECONTAMINATION, "op10_substring_dedup": oracles.SUBSTRINGS}
