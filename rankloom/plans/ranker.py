@@ -45,7 +45,7 @@ class ModelRanker:
         targets = self.prepared.targets().withColumn(LABEL, F.col(LABEL).cast("double"))
         if self.task == Task.TOKEN_CLASSIFICATION:
             # Words beyond the encoder's length have no vector and drop out with their labels.
-            joined = words.join(targets, (words["row_id"] == targets["row_id"]) & (words["word_id"] == targets["word_pos"])).drop(targets["row_id"])
+            joined = words.join(targets.withColumnRenamed("word_pos", "word_id"), ["row_id", "word_id"])
             unit = F.xxhash64("row_id", "word_id")
         else:
             joined = pooling.pool_texts(words, sentence_pooling).join(targets, "row_id")
