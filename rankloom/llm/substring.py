@@ -49,14 +49,16 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         part, size, power = words, 1, BASE
         whole, done = None, 0
-        for bit in bin(length)[:1:-1]:
-            if bit == "1":
+        while True:
+            if length & size:
                 n = len(words) - (done + size) + 1
                 if whole is None:
                     whole = part[:n]
                 else:
                     whole = whole[:n] * power + part[done : done + n]
                 done += size
+            if done == length:
+                break
             part = part[: len(part) - size] * power + part[size:]
             size, power = size * 2, power * power
         whole = whole ^ (whole >> np.uint64(32))
