@@ -41,12 +41,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the reliable checkpoint folder."""
+#: Rows of a few numbers that one partition holds with ease.
+PART_ROWS = 250_000
+
+
+def cut(df: DataFrame, thin: int = 1) -> DataFrame:
+    """The same rows, read back from the reliable checkpoint folder.
+
+    `thin` divides the number of shuffle partitions, for tables much smaller than what they were made from; it
+    merges the partitions of the last exchange, so the work before that keeps its parallelism.
+    """
     shared_folder(df.sparkSession)
+    if thin > 1:
+        df = df.coalesce(partitions(df.sparkSession, thin))
     return df.checkpoint(eager=True)
 
 
+def partitions(spark: SparkSession, thin: int = 1) -> int:
+    """The number of shuffle partitions, divided by `thin`."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // thin)
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two hashes that identify a row by its doc_id and its text; nulls count as values."""
     known = F.concat(F.isnull(doc_id).cast("int"), F.isnull(text).cast("int"))

@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Training.  Labelled rows open to learning are read; of each class at most `MAX_EXAMPLES` (those with the
-least hash of their doc_id, a documented bound) become examples.  Terms are words and four-letter word
-beginnings; those that tell label 1 from label 0 best (at most `MAX_TERMS`, by the likelihood ratio over all
-open labelled rows) span the vector space.  Document frequencies of these terms are counted over all documents.
+Training.  Of the labelled rows open to learning, at most `MAX_LABELLED` of each class (those with the least
+hash of their doc_id) choose the terms, and the first `MAX_EXAMPLES` of each class become examples; both are
+parameters.  Terms are words and four-letter word beginnings; those that tell label 1 from label 0 best (at
+most `MAX_TERMS`, by the likelihood ratio) span the vector space.  Document frequencies of these terms are
+counted over all documents.  Labels (without texts, bounded as above) are sent to the texts, never shuffled
+with them.
 Index, terms and frequencies have bounded size whatever the corpus and are sent to the workers.
 
 Search.  The postings of a term are grouped in blocks of 64 examples with the largest weight of each block.
@@ -22,6 +24,7 @@ result.  Labels, lang, source and doc_id of the scored document are no inputs of
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import cut, need
 
+MAX_LABELLED = 100_000
 MAX_EXAMPLES = 4000
 MAX_TERMS = 1500
 NEIGHBOURS = 15
@@ -178,20 +182,25 @@ def _curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return float(w[0]), float(max(w[1], 0.05))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = MAX_LABELLED, most: int = MAX_EXAMPLES) -> Index:
     """The index, learned from labelled documents that are not held out."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", label)
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    # The labels join the documents by key; equal texts teach once.
-    open_ = docs.select("doc_id", "text").join(known, docs["doc_id"] == known["doc"]).select("doc_id", "label", "text")
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg((F.max(F.col(label)) > 0).cast("int").alias("label"))
+    known = cut(known, 8)
     sizes = dict(map(tuple, known.groupBy("label").count().collect()))
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     base = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
-    chosen = choose_terms(open_, n_pos, n_neg) if n_pos and n_neg else []
+    order = [F.xxhash64("doc"), F.col("doc")]
+    taught = cut(functools.reduce(DataFrame.unionAll, [known.where(F.col("label") == y).orderBy(*order).limit(most_labelled) for y in (0, 1)]), 8)
+    examples = functools.reduce(DataFrame.unionAll, [taught.where(F.col("label") == y).orderBy(*order).limit(most) for y in (0, 1)])
+    # Labels of bounded number meet the texts where these are.
+    with_text = lambda some: docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("doc")).select("doc_id", "label", "text")
+    shown = dict(map(tuple, taught.groupBy("label").count().collect()))
+    chosen = choose_terms(with_text(taught), shown[1], shown[0]) if n_pos and n_neg else []
     total, frequency = document_frequencies(docs, chosen) if chosen else (0, np.empty(0))
     at = {t: i for i, t in enumerate(chosen)}
-    picked = [r for y in (0, 1) for r in _pick(open_.where(F.col("label") == y), at, most)]
+    picked = _pick(with_text(cut(examples, 8)), at) if at else []
     index = Index(at, np.log((1 + total) / (1 + frequency)) + 0.1, np.array([r[0] for r in picked], np.int64), np.array([r[1] for r in picked], float), [], np.zeros((len(at), 0)), base, base)
     counts = [Counter(dict(zip(r[2], r[3]))) for r in picked]
     vectors = [index.vector(c) for c in counts]
@@ -218,10 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     return index
 
 
-def _pick(rows: DataFrame, at: dict[str, int], most: int) -> list[tuple]:
-    """(doc_id, label, terms, counts) of the examples of a class, by hash of doc_id; only chosen terms leave the executors."""
+def _pick(rows: DataFrame, at: dict[str, int]) -> list[tuple]:
+    """(doc_id, label, terms, counts) of the examples; only chosen terms leave the executors. Equal texts teach once."""
     sent = rows.sparkSession.sparkContext.broadcast(set(at))
-    first = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label", F.xxhash64("text").alias("copy"), "text")
+    first = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", F.xxhash64("text").alias("copy"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
