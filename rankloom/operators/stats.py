@@ -1,8 +1,8 @@
 """Additive statistics of embedding tables, keyed by (model, layer).
 
 Tables have (model, layer, unit_id, vec, label).  Each task sums in numpy over Arrow batches and emits one
-partial a key (partial aggregation); partials meet in a tree, `FAN_IN` at most in a group, so no group grows
-with the table.  Two passes: the first for the mean, the second centred on it, so nothing cancels.
+partial a key (partial aggregation); partials meet in two levels, first those of `FAN_IN` neighbouring tasks,
+and are summed as they stream by, so memory does not grow with the table.  Two passes: the first for the mean, the second centred on it, so nothing cancels.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ FAN_IN = 32
 #: A task sends its sums on when they fill this much memory.
 TASK_BYTES = 256 << 20
 PARTIAL = "model string, layer int, part int, stats binary"
+PARTIAL_SCHEMA = pa.schema([("model", pa.string()), ("layer", pa.int32()), ("part", pa.int32()), ("stats", pa.binary())])
 
 
 class Sums(dict):
@@ -74,7 +74,7 @@ def keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str
 def partials(df: DataFrame, add: Callable[[tuple[str, int], Sums, np.ndarray, np.ndarray], None]) -> DataFrame:
     """Partial sums of every task: `add` sees a key, its sums, the vectors and the labels (float64)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -83,9 +83,8 @@ def partials(df: DataFrame, add: Callable[[tuple[str, int], Sums, np.ndarray, np
         def flush():
             rows = [(m, layer, part, s.pack()) for (m, layer), s in held.items()]
             held.clear()
-            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["model", "layer", "part", "stats"]), schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), PARTIAL_SCHEMA)], schema=PARTIAL_SCHEMA)
 
-        schema = pa.schema([("model", pa.string()), ("layer", pa.int32()), ("part", pa.int32()), ("stats", pa.binary())])
         for key, rows in keyed_batches(batches):
             x = matrix(rows.column(rows.schema.get_field_index("vec")))
             y = rows.column(rows.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(np.float64)
@@ -98,19 +97,30 @@ def partials(df: DataFrame, add: Callable[[tuple[str, int], Sums, np.ndarray, np
     return df.select("model", "layer", "vec", "label").mapInArrow(run, PARTIAL)
 
 
-def tree_sum(parts: DataFrame, n_parts: int) -> DataFrame:
-    """One row of sums for each (model, layer)."""
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of consecutive rows of one group, one group at a time."""
+    now, total = None, Sums()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = Sums()
-        for data in pdf.stats:
-            total.merge(Sums.unpack(data))
-        return pd.DataFrame([(pdf.model.iloc[0], pdf.layer.iloc[0], pdf.part.iloc[0], total.pack())], columns=["model", "layer", "part", "stats"])
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*now, total.pack()), PARTIAL_SCHEMA)], schema=PARTIAL_SCHEMA)
 
-    while n_parts > FAN_IN:
-        n_parts = -(-n_parts // FAN_IN)
-        parts = parts.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("model", "layer", "part").applyInPandas(merge, PARTIAL)
-    return parts.withColumn("part", F.lit(0)).groupBy("model", "layer", "part").applyInPandas(merge, PARTIAL)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key = tuple(batch.column(c)[i].as_py() for c in range(3))
+            if key != now:
+                if now is not None:
+                    yield row()
+                now, total = key, Sums()
+            total.merge(Sums.unpack(batch.column(3)[i].as_py()))
+    if now is not None:
+        yield row()
+
+
+def tree_sum(parts: DataFrame) -> DataFrame:
+    """One row of sums for each (model, layer): neighbouring tasks' partials first, then those of all."""
+    for group in ((F.col("part") / FAN_IN).cast("int"), F.lit(0)):
+        parts = parts.withColumn("part", group).repartition("model", "layer", "part").sortWithinPartitions("model", "layer", "part").mapInArrow(_merge, PARTIAL)
+    return parts
 
 
 def means(df: DataFrame) -> dict[tuple[str, int], np.ndarray]:
@@ -120,7 +130,7 @@ def means(df: DataFrame) -> dict[tuple[str, int], np.ndarray]:
         sums.add("n", np.array(len(x)))
         sums.add("sum", x.sum(0))
 
-    rows = tree_sum(partials(df, add), df.rdd.getNumPartitions()).collect()
+    rows = tree_sum(partials(df, add)).collect()
     got = {(r["model"], r["layer"]): Sums.unpack(r["stats"]) for r in rows}
     return {k: s["sum"] / s["n"] for k, s in got.items()}
 
@@ -148,4 +158,4 @@ def layer_stats(df: DataFrame, regression: bool = False) -> DataFrame:
                 sums.add(f"s:{float(v)!r}", mine.sum(0))
         sums["mean"] = mean
 
-    return tree_sum(partials(df, add), df.rdd.getNumPartitions())
+    return tree_sum(partials(df, add))

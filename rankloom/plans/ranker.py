@@ -8,11 +8,11 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pooling
 from ..operators.estimators import ESTIMATORS
 from ..operators.prepare import LABEL, Prepared, Preparer, Task
 from ..operators.ranking import AGGREGATORS, Result, reduce_layers
-from ..sources.encoders import Encoder
+from ..sources.embedder import Embedder
+from ..sources.encoders import Encoder, resolve
 
 logger = logging.getLogger("rankloom")
 
@@ -37,39 +37,38 @@ class ModelRanker:
 
     def units(self, encoder: Encoder, layer_aggregator: str = "layermean", sentence_pooling: str = "mean", subword_pooling: str = "mean") -> DataFrame:
         """(model, layer, unit_id, vec, label): pooled vectors of words or texts with their targets."""
-        layers = pooling.parse_layers("-1" if layer_aggregator == "lastlayer" else "all", encoder.n_layers)
-        tokens = encoder.encode(self.prepared.data, self.prepared.text, layers)
-        if layer_aggregator == "layermean":
-            tokens = pooling.layer_mean(tokens, ["model", "row_id", "tok_pos", "word_id"])
-        words = pooling.pool_words(tokens, subword_pooling)
+        by_word = self.task == Task.TOKEN_CLASSIFICATION
+        if by_word and sentence_pooling not in ("mean", None):
+            logger.warning("sentence pooling does not apply to token classification")
+        embedder = Embedder(encoder, subword_pooling, None if by_word else sentence_pooling, "-1" if layer_aggregator == "lastlayer" else "all", layer_aggregator == "layermean")
+        vectors = embedder.embed_table(self.prepared.data, self.prepared.text)
         targets = self.prepared.targets().withColumn(LABEL, F.col(LABEL).cast("double"))
-        if self.task == Task.TOKEN_CLASSIFICATION:
+        if by_word:
             # Words beyond the encoder's length have no vector and drop out with their labels.
-            joined = words.join(targets.withColumnRenamed("word_pos", "word_id"), ["row_id", "word_id"])
+            joined = vectors.join(targets.withColumnRenamed("word_pos", "word_id"), ["row_id", "word_id"])
             unit = F.xxhash64("row_id", "word_id")
         else:
-            joined = pooling.pool_texts(words, sentence_pooling).join(targets, "row_id")
+            joined = vectors.join(targets, "row_id")
             unit = F.col("row_id")
         return joined.select("model", "layer", unit.alias("unit_id"), "vec", LABEL)
 
-    def layer_scores(self, models: list[Encoder], estimator: str = "hscore", layer_aggregator: str = "layermean", sentence_pooling: str = "mean") -> DataFrame:
+    def layer_scores(self, models: list[Encoder | str], estimator: str = "hscore", layer_aggregator: str = "layermean", sentence_pooling: str = "mean") -> DataFrame:
         """(model, layer, estimator, score) of all models and layers."""
         confirm(estimator, layer_aggregator)
         if not models:
             raise ValueError("no models to rank")
         metric = ESTIMATORS[estimator](regression=self.task.is_regression)
-        once = {m.name: m for m in models}.values()
-        units = functools.reduce(DataFrame.unionByName, [self.units(m, layer_aggregator, sentence_pooling) for m in once])
+        units = functools.reduce(DataFrame.unionByName, [self.units(m, layer_aggregator, sentence_pooling) for m in resolve(models)])
         return metric.score(units)
 
-    def run(self, models: list[Encoder], estimator: str = "hscore", layer_aggregator: str = "layermean", batch_size: int = 32, sentence_pooling: str = "mean") -> Result:
+    def run(self, models: list[Encoder | str], estimator: str = "hscore", layer_aggregator: str = "layermean", batch_size: int = 32, sentence_pooling: str = "mean") -> Result:
         """Score and rank the models; one row for each model and layer comes to the driver."""
         scores = self.layer_scores(models, estimator, layer_aggregator, sentence_pooling)
         rows = scores.collect()
         result = Result(estimator)
         small = self.prepared.data.sparkSession.createDataFrame(rows, scores.schema)
         reduced = {r["model"]: r["score"] for r in reduce_layers(small, layer_aggregator).collect()}
-        for model in dict.fromkeys(m.name for m in models):
+        for model in dict.fromkeys(m if isinstance(m, str) else m.name for m in models):
             if model in reduced:
                 result.add_score(model, reduced[model])
                 result.add_layerwise_scores(model, {r["layer"]: r["score"] for r in sorted(rows, key=lambda r: r["layer"]) if r["model"] == model})

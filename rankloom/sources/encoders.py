@@ -67,22 +67,50 @@ class TableEncoder(Encoder):
         return mine.join(texts.select("row_id"), "row_id", "left_semi").select(*(c.split()[0] for c in TOKENS.split(", ")))
 
 
+_loaded: dict[str, object] = {}
+
+
 class FunctionEncoder(Encoder):
-    """A user's function of a batch: it takes (words lists, layers) and gives, for each text, (word_id or None, {layer: vector}) of each token."""
+    """A user's function of a batch, run on executors.
+
+    It takes (lists of words, layers) and gives, for each text, (word number or None, {layer: vector}) of each
+    token.  With `load`, a function without arguments, the function gets what that returns as its first
+    argument; each Python worker loads it once.
+    """
 
-    def __init__(self, name: str, n_layers: int, function: Callable) -> None:
+    def __init__(self, name: str, n_layers: int, function: Callable, load: Callable | None = None) -> None:
         super().__init__(name, n_layers)
-        self.function = function
+        self.function, self.load = function, load
 
     def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
-        name, function = self.name, self.function
+        name, function, load = self.name, self.function, self.load
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if load is not None and name not in _loaded:
+                _loaded[name] = load()
+            first = () if load is None else (_loaded[name],)
             for pdf in batches:
-                made = function([list(w) for w in pdf.words], layers)
+                made = function(*first, [list(w) for w in pdf.words], layers)
                 rows = [(name, i, pos, word, layer, [float(x) for x in vec]) for i, tokens in zip(pdf.row_id, made) for pos, (word, by_layer) in enumerate(tokens) for layer, vec in by_layer.items()]
                 out = pd.DataFrame(rows, columns=["model", "row_id", "tok_pos", "word_id", "layer", "vec"])
                 out["word_id"] = out["word_id"].astype("Int32")
                 yield out
 
         return texts.mapInPandas(run, TOKENS)
+
+
+_registry: dict[str, Callable[[], Encoder]] = {}
+
+
+def register_encoder(name: str, make: Callable[[], Encoder]) -> None:
+    """Let a model be named by a string."""
+    _registry[name] = make
+
+
+def resolve(models: list[Encoder | str]) -> list[Encoder]:
+    """Encoders of encoders and registered names, each name once, in order. Unknown names fail before any job runs."""
+    unknown = [m for m in models if isinstance(m, str) and m not in _registry]
+    if unknown:
+        raise ValueError(f"no encoder is registered for {unknown}; known are {sorted(_registry)}")
+    made = [_registry[m]() if isinstance(m, str) else m for m in models]
+    return list({m.name: m for m in made}.values())

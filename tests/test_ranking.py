@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from rankloom import ModelRanker, Result, prepare_popular_models
 from rankloom.operators import pooling
 from rankloom.sources.datasets import read_dataset
-from rankloom.sources.encoders import FunctionEncoder, HashEncoder, TableEncoder
+from rankloom.sources.embedder import Embedder
+from rankloom.sources.encoders import FunctionEncoder, HashEncoder, TableEncoder, register_encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +102,22 @@ def test_catalogue_and_readers(spark, tmp_path):
 
 def test_logs_nothing_globally():
     assert not logging.getLogger("rankloom").handlers
+
+
+def test_embeds_texts_at_hand(spark):
+    encoder = HashEncoder("a", 3, dim=4)
+    words = Embedder(encoder).embed(spark, "two words")
+    assert sorted((r["word_id"], r["layer"], len(r["vec"])) for r in words.collect()) == [(w, layer, 4) for w in (0, 1) for layer in (0, 1, 2)]
+    assert Embedder(encoder, layer_ids="-1,0").embed(spark, [["a", "b", "c"], ["d"]]).count() == 8
+    texts = Embedder(encoder, sentence_pooling="mean", layer_mean=True).embed(spark, ["x y", "z!", "\U0001f600", "1 2 3", "word " * 3000, "$%&"])
+    assert texts.count() == 6 and {r["layer"] for r in texts.collect()} == {0}
+    assert Embedder(encoder).embed(spark, [""]).count() == 0 and Embedder(encoder).embed(spark, []).count() == 0
+
+
+def test_registered_and_loaded_encoders(texts):
+    register_encoder("named", lambda: HashEncoder("named"))
+    ranker = ModelRanker(texts, label_column="quality", row_id="doc_id")
+    own = FunctionEncoder("loaded", 1, lambda scale, batch, layers: [[(i, {layer: [scale * len(w), 1.0] for layer in layers}) for i, w in enumerate(words)] for words in batch], load=lambda: 0.5)
+    assert set(ranker.run(["named", own, "named"], "logme").scores) == {"named", "loaded"}
+    with pytest.raises(ValueError):
+        ranker.run(["unknown"])
