@@ -146,9 +146,10 @@ class NearestNeighbors(Estimator):
         super().__init__(regression)
         self.k, self.distance, self.block_rows, self.broadcast_bytes = k, distance, block_rows, broadcast_bytes
 
-    def blocks(self, units: DataFrame, rows: int) -> DataFrame:
-        n_blocks = max(1, -(-rows // self.block_rows))
+    def n_blocks(self, sizes: list) -> int:
+        return max(1, -(-max(r["n"] for r in sizes) // self.block_rows))
 
+    def blocks(self, units: DataFrame, n_blocks: int) -> DataFrame:
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.array(pdf.vec.tolist(), np.float64)
             return pd.DataFrame(
@@ -188,7 +189,7 @@ class NearestNeighbors(Estimator):
             raise ValueError(f"k = {k} needs more than {k} rows for each model and layer")
         if not sizes:
             return units.sparkSession.createDataFrame([], out)
-        blocks = self.blocks(units, max(r["n"] for r in sizes))
+        blocks = self.blocks(units, self.n_blocks(sizes))
         if sum(r["n"] * (r["d"] + 2) * 8 for r in sizes) <= self.broadcast_bytes:
             held: dict = {}
             for r in blocks.collect():
@@ -218,8 +219,10 @@ class NearestNeighbors(Estimator):
                     a, b = decode(a), decode(b)
                     yield pa.RecordBatch.from_pandas(pd.DataFrame({"model": row["model"], "layer": np.int32(row["layer"]), "unit_id": a[0], "label": a[2], "near": best(a, b)}), preserve_index=False)
 
-        sides = [blocks.select("model", "layer", *(F.col(f).alias(f"{s}_{f}") for f in ("block", "ids", "vecs", "labels", "dim"))) for s in "ab"]
-        met = sides[0].join(sides[1], ["model", "layer"]).repartition("model", "layer", "a_block", "b_block").mapInArrow(pairs, out)
+        # A copy of each block goes to every block, which spreads the pairs over as many keys as there are blocks.
+        a, b = (blocks.select("model", "layer", F.col("block").alias(f"{s}_block"), *(F.col(f).alias(f"{s}_{f}") for f in ("ids", "vecs", "labels", "dim"))) for s in "ab")
+        copies = a.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(self.n_blocks(sizes) - 1))))
+        met = copies.join(b, ["model", "layer", "b_block"]).mapInArrow(pairs, out)
         merged = met.groupBy("model", "layer", "unit_id", "label").agg(F.flatten(F.collect_list("near")).alias("near"))
         return merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
 
