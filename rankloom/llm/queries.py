@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op2_decontamination": oracles.DECONTAMINATION, "op10_substring_dedup": oracles.SUBSTRINGS}
+    return {"op1_quality_rules": oracles.QUALITY, "op2_decontamination": oracles.DECONTAMINATION, "op7_chat_format": oracles.CHAT, "op10_substring_dedup": oracles.SUBSTRINGS}
