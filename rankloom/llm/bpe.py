@@ -33,9 +33,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, need
+from .common import buckets, lean, need
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 WORDS, CODES, IDS = 0, 1, 2
 PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 DDL = "bucket int, block long, kind int, a binary, b binary, c binary"
@@ -197,11 +197,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     n, parts = buckets(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = rows.mapInArrow(_blocks(WORDS, pattern, n, block_bytes), DDL)
-    ids = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(sent, pattern), DDL)
-    codes = rows.mapInArrow(_blocks(CODES, pattern, n, block_bytes), DDL)
+    words = rows.mapInArrow(lean(_blocks(WORDS, pattern, n, block_bytes)), DDL)
+    ids = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode_words(sent, pattern)), DDL)
+    codes = rows.mapInArrow(lean(_blocks(CODES, pattern, n, block_bytes)), DDL)
     blocks = ids.unionAll(codes).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-    return blocks.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    return blocks.mapInArrow(lean(_assemble), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -221,7 +221,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 made = [None if (x := v.as_py()) is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for v in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
+    return encoded.mapInArrow(lean(run), ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -11,8 +11,13 @@ session names none and runs in one local process.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,8 @@ def session(df: DataFrame) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share."""
     context = spark.sparkContext
+    if not context.getCheckpointDir() and (named := spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(named)
     if not context.getCheckpointDir():
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -62,6 +69,25 @@ def partitions(spark: SparkSession, thin: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // thin)
 
 
+def lean(run):
+    """A function of Arrow batches that gives freed memory back to the system when a task ends.
+
+    Python workers live on between tasks; without this each keeps what its largest task took.
+    """
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two hashes that identify a row by its doc_id and its text; nulls count as values."""
     known = F.concat(F.isnull(doc_id).cast("int"), F.isnull(text).cast("int"))
@@ -82,8 +108,7 @@ def width(df: DataFrame) -> int:
 
 def small(df: DataFrame, bound: int = BROADCAST_BYTES, row_bytes: int | None = None) -> bool:
     """Whether a frame (already cut, so that counting it is cheap) has a proven size within the bound."""
-    limit = bound // (row_bytes or width(df))
-    return df.limit(limit + 1).count() <= limit
+    return df.count() * (row_bytes or width(df)) <= bound
 
 
 def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", bound: int = BROADCAST_BYTES, row_bytes: int | None = None) -> DataFrame:
@@ -97,9 +122,10 @@ def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", b
     return big.join(table, on, how)
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """How many buckets packed exchanges use: a multiple of the shuffle partitions set for the input."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition)
+def buckets(spark: SparkSession, per_partition: int = 4, most_split: int = 4096) -> int:
+    """How many buckets packed exchanges use: several for each shuffle partition, one where these are many already."""
+    parts = partitions(spark)
+    return max(8, parts, min(parts * per_partition, most_split))
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import PART_ROWS, cut, partitions
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,11 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     `edges` has the long columns u and v, in any direction, repeats and loops allowed.
     """
-    edges = cut(_small_star(edges))
-    state = _state(edges)
+    def step(made: DataFrame) -> tuple[DataFrame, tuple]:
+        made = cut(made, thin)
+        return made, _state(made)
+
+    parts = partitions(edges.sparkSession)
+    thin = 8
+    edges, state = step(_small_star(edges))
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
-        if state == (state := _state(edges)):
+        thin = max(1, parts // -(-state[0] // PART_ROWS))  # partitions follow the edges left
+        edges, new = step(_small_star(_large_star(edges)))
+        if state == (state := new):
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

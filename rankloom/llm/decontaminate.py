@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, BROADCAST_BYTES, KEY, cut, lookup, need, packed, row_key, unpacked
+from .common import ASCII_LOWER, ASCII_UPPER, BROADCAST_BYTES, KEY, cut, lookup, need, packed, partitions, row_key, unpacked
 from .quality import let
 
 WINDOW = 10
@@ -66,11 +66,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     """For each document: its key (two hashes), doc_id, n_words, n_hit (words in windows of items), items (sorted ids) and spans."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    windows = cut(benchmark_windows(benchmark))
+    windows = cut(benchmark_windows(benchmark), 8)
     lengths = [r["len"] for r in windows.select("len").distinct().collect() if r["len"] < WINDOW]  # nine at most
     # A row of length 0 lets one row of each document through both joins.
     mark = spark.createDataFrame([(0, 0, 0, [])], "len int, window bigint, key bigint, items array<string>")
-    windows = cut(windows.select(F.col("len").cast("int").alias("len"), "window", "key", "items").unionAll(mark))
+    windows = cut(windows.select(F.col("len").cast("int").alias("len"), "window", "key", "items").unionAll(mark), 8)
     keys = windows.select("len", "key").distinct()
 
     none = "cast(array() as array<struct<len:int,key:bigint,p:int>>)"
@@ -83,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     prints = rows.select(*KEY, "doc_id", "n_words", "h", F.explode("f").alias("f")).select(*KEY, "doc_id", "n_words", "f.*", "h")
     first = f"greatest(p - {GRAMS - 1}, 0)"
     prints = prints.select(*KEY, "doc_id", "n_words", "len", "key", "p", F.expr(f"if(len = {WINDOW}, slice(h, {first} + 1, {WINDOW + GRAMS - 1}), {NO_LONGS})").alias("around"))
-    hits = lookup(prints, cut(keys), ["len", "key"], "inner", bound)
+    hits = lookup(prints, cut(keys, 8), ["len", "key"], "inner", bound)
 
     starts = [f"p - {GRAMS - 1 - k}" for k in range(GRAMS)]
     grown = ", ".join(f"if({s} >= 0 and {s} <= n_words - {WINDOW}, struct({s} as s, {_hash('around', f'({s} - {first})', WINDOW)} as window), null)" for s in starts)
@@ -99,6 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     covered = "aggregate(spans, struct(0 as e, 0L as n), (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n)).n"
     # Rows equal in doc_id and text were grouped; each comes back.
     again = F.explode(F.expr("sequence(1, greatest(copies, 1))")).alias("copy")
+    # What is left is a small part of what was read.
+    grouped = grouped.coalesce(partitions(spark, 8))
     return grouped.select(*KEY, "doc_id", "n_words", F.expr(covered).alias("n_hit"), "items", "spans", again).drop("copy")
 
 
@@ -110,5 +112,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns."""
-    bad = cut(contamination(docs, benchmark).where("n_hit > 0").select(*KEY).distinct())
+    bad = cut(contamination(docs, benchmark).where("n_hit > 0").select(*KEY).distinct(), 8)
     return unpacked(lookup(packed(docs), bad, list(KEY), "left_anti"), docs.columns)

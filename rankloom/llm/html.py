@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 TOKEN = re.compile(
     r"(?P<text>[^<]++)|<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?|</?[!?/][^>]*+>?|(?P<lone><)", re.DOTALL
@@ -340,4 +340,4 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64())], names=["key", "text", "n_lines"])
 
     rows = pages.select(F.col(key).alias("key"), html)
-    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, text string, n_lines long").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), f"key {rows.dtypes[0][1]}, text string, n_lines long").withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, partitions
 
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.5
@@ -162,6 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
     by_line = judged.groupBy("row", "doc_id", "n_cues", "line").agg(pick)
     notice = F.when(F.col("line").isNotNull(), F.struct("line", F.when(F.col("v.sure"), F.col("v.family")).otherwise(UNKNOWN).alias("family"), "v.probability", "v.overlap"))
     done = by_line.groupBy("row", "doc_id", "n_cues").agg(F.array_sort(F.collect_list(notice)).alias("notices"), F.sum((F.col("line").isNotNull() & F.col("v.sure")).cast("long")).alias("n_confirmed"))
+    done = done.coalesce(partitions(docs.sparkSession, 8))  # thin rows
     return done.select("doc_id", "n_cues", "n_confirmed", (F.col("n_cues") - F.col("n_confirmed")).alias("n_unknown"), "notices")
 
 

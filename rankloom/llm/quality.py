@@ -68,7 +68,7 @@ def with_metrics(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
 
 def host_verdicts(rows: DataFrame, host: str, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(host, host_docs, host_failed, host_rate, host_rejected) of rows with base_failed."""
-    hosts = cut(rows.groupBy(F.coalesce(F.col(host), F.lit("")).alias("__host")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")))
+    hosts = cut(rows.groupBy(F.coalesce(F.col(host), F.lit("")).alias("__host")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")), 8)
     rate = F.col("host_failed") / F.col("host_docs")
     # Moments of the host rates; the noise of a rate over n documents is taken off their variance. One row.
     mean, spread, noise = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(rate * (1 - rate) / F.col("host_docs"))).first()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, lookup, need, packed, unpacked
+from .common import KEY, cut, lean, lookup, need, packed, unpacked
 from .components import components
 
 SHINGLE = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=[*batch.schema.names[1:], "fp"])
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *carry)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes[1:]) + ", fp long")
+    return rows.mapInArrow(lean(run), ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes[1:]) + ", fp long")
 
 
 class Golay:
@@ -219,15 +219,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(u, v) of distinct fingerprints `fp`: links whose components are those of all links at the threshold."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long")
-    return copies.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_links, "u long, v long")
+    copies = fps.select("fp").mapInArrow(lean(_replicate), "anchor long, fp long")
+    return copies.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_links), "u long, v long")
 
 
 def fingerprint_components(rows: DataFrame) -> DataFrame:
     """(fp, root, component_id) for each distinct `fp` of rows with doc_id and fp; root is the fingerprint that names the component."""
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = components(cut(fingerprint_links(distinct).distinct()))
-    linked = cut(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", "root"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), 8)
+    nodes = components(cut(fingerprint_links(distinct).distinct(), 8))
+    linked = cut(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", "root"), 8)
     groups = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.where("root is not null").join(groups, "root").select("fp", "root", "component_id")
     return joined.unionAll(linked.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
@@ -236,7 +236,7 @@ def fingerprint_components(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, carried columns, fp, root and component_id (smallest doc_id that links reach) for every row."""
     rows = cut(fingerprints(docs, *carry))
-    return lookup(rows, cut(fingerprint_components(rows)), ["fp"], "left")
+    return lookup(rows, cut(fingerprint_components(rows), 8), ["fp"], "left")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -249,10 +249,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = list(KEY)
     found = near_duplicates(packed(docs).drop("__row"), *key)
     first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), *key)).alias("first"))
-    chosen = cut(first.select(*(F.col(f"first.{k}").alias(k) for k in key)))
+    chosen = cut(first.select(*(F.col(f"first.{k}").alias(k) for k in key)), 8)
     kept = lookup(packed(docs), chosen, key, "left_semi")
     # Of rows that are equal in doc_id and text, only one stays.
-    many = cut(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(chosen, key, "left_semi").select(*key))
+    many = cut(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(chosen, key, "left_semi").select(*key), 8)
     if many.isEmpty():
         return unpacked(kept, docs.columns)
     once = lookup(kept, many, key, "left_anti")

@@ -13,7 +13,8 @@ The text itself is never shuffled by hash.  Intervals come back to the documents
 Cases: a null text has no words; a text shorter than the window has no window and loses nothing; equal rows
 count as copies of each other, so both lose their windows; an empty table gives an empty result; other
 columns of the input pass through unread.  Two different windows are taken for equal only if their 64-bit
-hashes meet (about n*n/2**65 for n windows).
+hashes meet (about n*n/2**65 for n windows).  As the places of windows are counted within a map task, the
+input must give the same rows in the same order when a lost task runs again: a table that is read does.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, buckets, cut, lookup, need, packed, row_key, unpacked
+from .common import KEY, buckets, cut, lean, lookup, need, packed, row_key, unpacked
 
 WINDOW = 35
 #: Words of a block: bounds the memory of a map task; a longer document is a block of its own.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = "array<struct<first:int,last:int>>"
@@ -238,15 +239,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLO
     n = buckets(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
-    entries = keyed.mapInArrow(_emit(window, n, block_words), PACKED_DDL)
-    answers = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_count(n), PACKED_DDL)
-    spans = answers.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_intervals(window), f"{KEY[0]} long, {KEY[1]} long, spans {SPANS}")
+    entries = keyed.mapInArrow(lean(_emit(window, n, block_words)), PACKED_DDL)
+    answers = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lean(_count(n)), PACKED_DDL)
+    spans = answers.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(_intervals(window)), f"{KEY[0]} long, {KEY[1]} long, spans {SPANS}")
     return spans.dropDuplicates(list(KEY))
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text and `spans`, the word intervals to remove (null: none), of each row, with the row as a struct `__row`."""
-    found = cut(repeated_spans(docs, window, block_words))
+    found = cut(repeated_spans(docs, window, block_words), 8)
     return lookup(packed(docs), found, list(KEY), row_bytes=256)
 
 
@@ -285,7 +286,7 @@ def digest(docs_with_spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     out = docs_with_spans.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

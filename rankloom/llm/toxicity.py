@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need
+from .common import cut, lean, need
 
 MAX_LABELLED = 100_000
 MAX_EXAMPLES = 4000
@@ -80,7 +80,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def choose_terms(labelled: DataFrame, n_pos: int, n_neg: int, most: int = MAX_TERMS) -> list[str]:
     """The terms more frequent under label 1 that tell the labels apart best."""
-    counts = labelled.select("label", "text").mapInArrow(_term_rows, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = labelled.select("label", "text").mapInArrow(lean(_term_rows), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
     def part(seen, size):
         return F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / ((F.col("pos") + F.col("neg")) * size / (n_pos + n_neg)))).otherwise(0.0)
@@ -102,7 +102,7 @@ def document_frequencies(docs: DataFrame, chosen: list[str]) -> tuple[int, np.nd
                 seen.update(at.value[t] for t in terms(text.as_py()).keys() & at.value.keys())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # MAX_TERMS + 1 at most
+    rows = docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # MAX_TERMS + 1 at most
     n = dict(map(tuple, rows))
     return n.get(-1, 0), np.array([n.get(i, 0) for i in range(len(chosen))], float)
 
@@ -191,12 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled:
     sizes = dict(map(tuple, known.groupBy("label").count().collect()))
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     base = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
-    order = [F.xxhash64("doc"), F.col("doc")]
-    taught = cut(functools.reduce(DataFrame.unionAll, [known.where(F.col("label") == y).orderBy(*order).limit(most_labelled) for y in (0, 1)]), 8)
-    examples = functools.reduce(DataFrame.unionAll, [taught.where(F.col("label") == y).orderBy(*order).limit(most) for y in (0, 1)])
+    taught = cut(_least(known, sizes, most_labelled), 8)
+    shown = dict(map(tuple, taught.groupBy("label").count().collect()))
+    examples = _least(taught, shown, most)
     # Labels of bounded number meet the texts where these are.
     with_text = lambda some: docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("doc")).select("doc_id", "label", "text")
-    shown = dict(map(tuple, taught.groupBy("label").count().collect()))
     chosen = choose_terms(with_text(taught), shown[1], shown[0]) if n_pos and n_neg else []
     total, frequency = document_frequencies(docs, chosen) if chosen else (0, np.empty(0))
     at = {t: i for i, t in enumerate(chosen)}
@@ -227,6 +226,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled:
     return index
 
 
+def _least(known: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+    """At most `most` labelled rows of each class, by least hash of doc_id.
+
+    A bound on the hash that keeps about twice as many comes first, so that no task gathers all rows.
+    """
+    spread = 1 << 30
+    place = F.pmod(F.xxhash64("doc"), F.lit(spread))
+    parts = []
+    for y, n in sorted(sizes.items()):
+        mine = known.where((F.col("label") == y) & (place < int(spread * min(1.0, 2 * most / n))))
+        parts.append(mine if n <= most else mine.orderBy(place, "doc").limit(most))
+    return functools.reduce(DataFrame.unionAll, parts) if parts else known.limit(0)
+
+
 def _pick(rows: DataFrame, at: dict[str, int]) -> list[tuple]:
     """(doc_id, label, terms, counts) of the examples; only chosen terms leave the executors. Equal texts teach once."""
     sent = rows.sparkSession.sparkContext.broadcast(set(at))
@@ -238,7 +251,7 @@ def _pick(rows: DataFrame, at: dict[str, int]) -> list[tuple]:
             names, counts = pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, counts], names=["doc_id", "label", "copy", "terms", "counts"])
 
-    made = first.mapInArrow(run, "doc_id long, label int, copy long, terms array<string>, counts array<long>").collect()
+    made = first.mapInArrow(lean(run), "doc_id long, label int, copy long, terms array<string>, counts array<long>").collect()
     once = {r["copy"]: (r["doc_id"], r["label"], r["terms"], r["counts"]) for r in sorted(made, key=lambda r: -r["doc_id"])}
     return sorted(once.values(), key=lambda r: r[0])
 
@@ -260,7 +273,7 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
+    out = rows.mapInArrow(lean(run), f"doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
