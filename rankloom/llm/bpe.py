@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, lean, need
+from .common import buckets, lean, need, partitions
 
 BLOCK_BYTES = 8 << 20
 WORDS, CODES, IDS = 0, 1, 2
@@ -140,6 +140,7 @@ def _encode_words(ranks, pattern: str):
     return run
 
 
+ENCODED_DDL = "doc_id long, n_tokens long, ids binary"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
@@ -187,41 +188,59 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(codes, table)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row.
-
-    The ranks, of the size of a vocabulary, are sent to the workers.
-    """
+def _blocks_with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int) -> DataFrame:
+    """Both exchanges: the positions of each block beside the ids of its words."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    n, parts = buckets(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, parts = buckets(spark), partitions(spark)
     sent = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = rows.mapInArrow(lean(_blocks(WORDS, pattern, n, block_bytes)), DDL)
     ids = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode_words(sent, pattern)), DDL)
     codes = rows.mapInArrow(lean(_blocks(CODES, pattern, n, block_bytes)), DDL)
-    blocks = ids.unionAll(codes).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-    return blocks.mapInArrow(lean(_assemble), "doc_id long, n_tokens long, ids binary")
+    return ids.unionAll(codes).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The encoded rows with `decoded`, the bytes of their ids."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row.
+
+    The ranks, of the size of a vocabulary, are sent to the workers.
+    """
+    return _blocks_with_ids(docs, ranks, pattern, block_bytes).mapInArrow(lean(_assemble), ENCODED_DDL)
+
+
+def _decoder(spark, ranks: dict[bytes, int]):
+    """Appends `decoded`, the bytes of `ids` by the token-byte table, to Arrow batches."""
     table: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sent.value.__getitem__
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index("ids") if at is None else at
+            at = batch.schema.get_field_index("ids")
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 made = [None if (x := v.as_py()) is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for v in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(lean(run), ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
+    return run
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The encoded rows with `decoded`, the bytes of their ids."""
+    return encoded.mapInArrow(lean(_decoder(encoded.sparkSession, ranks)), ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
+
+
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`decode(encode(docs))` with both last steps in one Python pass, which halves the workers at work."""
+    decoder = _decoder(docs.sparkSession, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decoder(_assemble(batches))
+
+    return _blocks_with_ids(docs, ranks, pattern, block_bytes).mapInArrow(lean(run), ENCODED_DDL + ", decoded binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

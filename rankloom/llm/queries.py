@@ -39,7 +39,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     ranks = bpe.load_ranks(tokens.model_bytes(spark, ranks_path))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digest(bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

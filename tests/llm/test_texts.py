@@ -43,6 +43,8 @@ def test_bpe_equals_the_library_and_round_trips(awkward, awkward_rows, nothing,
         want.append((row[0], len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha((row[1] or "").encode())))
     encoded = bpe.encode(awkward, ranks, public_tokenizers.PATTERN, block_bytes)
     assert multiset(map(tuple, bpe.digest(bpe.decode(encoded, ranks)).collect())) == multiset(want)
+    both = bpe.encode_decode(awkward, ranks, public_tokenizers.PATTERN, block_bytes)
+    assert multiset(map(tuple, bpe.digest(both).collect())) == multiset(want)
     assert bpe.encode(nothing, ranks, public_tokenizers.PATTERN).count() == 0
 
 
