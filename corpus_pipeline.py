@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
     ranks = bpe.load_ranks(tokens.model_bytes(spark, ranks_path))
-    return bpe.digest(bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digest(bpe.encode_decode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN))
 
 
 STAGES = [
