@@ -1,22 +1,22 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Training.  Of the labelled rows open to learning, at most `MAX_LABELLED` of each class (those with the least
-hash of their doc_id) choose the terms, and the first `MAX_EXAMPLES` of each class become examples; both are
-parameters.  Terms are words and four-letter word beginnings; those that tell label 1 from label 0 best (at
-most `MAX_TERMS`, by the likelihood ratio) span the vector space.  Document frequencies of these terms are
-counted over all documents.  Labels (without texts, bounded as above) are sent to the texts, never shuffled
-with them.
-Index, terms and frequencies have bounded size whatever the corpus and are sent to the workers.
-
-Search.  The postings of a term are grouped in blocks of 64 examples with the largest weight of each block.
-The blocks' maxima bound the cosine of all their examples; blocks are scored in full, best bound first, until
-no bound reaches the k-th best score.  The result is exact, with ties won by the example that comes first.
+Training.  Of the labelled rows open to learning, at most `MAX_EXAMPLES` of each class (those with the least
+hash of their doc_id; a parameter) become examples.  Terms are words and four-letter word beginnings; all terms
+of the examples span the vector space, none is chosen or left out.  A term that no example has adds to no dot
+product and has no place in the space, so it does not lengthen a vector either.  Document frequencies are counted
+over all documents.  Labels (without texts, bounded as above) are sent to the texts, never shuffled with them.
+Index, terms and frequencies are bounded by the examples' texts whatever the corpus and are sent to the workers.
+
+Search.  Examples are grouped in blocks of 64, with the largest weight of each long posting list in each block.
+Short lists are scored first; with them the blocks' maxima bound the cosine of all their examples, and the long
+lists are scored in the blocks whose bound reaches the k-th best score so far.  The result is exact, with ties
+won by the example that comes first.
 
 Score.  The k nearest vote with a power of their cosine as weight, against a prior weight of the base rate among
 examples; a document that shares no term has the base rate of such examples.  Votes are calibrated by a
 logistic curve fitted to leave-one-out votes of the examples.  Evidence: the nearest examples.
 
-Cases: null and empty texts share no term and get that base rate; whole texts of any length are read;
+Cases: null and empty texts (and texts without a word of any example) share no term and get that base rate; whole texts of any length are read;
 several labels of one doc_id count by their largest; equal rows get equal rows; without usable labels every
 score is 0.5 times the base rate's odds that are known (0 without any label); an empty table gives an empty
 result.  Labels, lang, source and doc_id of the scored document are no inputs of its score.
@@ -32,24 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, need
 
-MAX_LABELLED = 100_000
 MAX_EXAMPLES = 4000
-MAX_TERMS = 1500
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 1.0
 #: A neighbour's vote weighs its cosine to this power.
 SHARPNESS = 2
 BLOCK = 64
 PREFIX = 4
-#: A term must be in this many documents of label 1, and tell labels apart at this likelihood ratio statistic.
-MIN_DOCUMENTS, MIN_RATIO = 3, 15.0
-#: ... and be this many times as frequent under label 1 as under label 0.
-MIN_LIFT = 20
+#: Posting lists up to this length are scored before any bound is taken.
+SHORT = 4 * BLOCK
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 EVIDENCE = "array<struct<doc_id:long,label:int,cosine:double>>"
 
@@ -68,43 +65,25 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, pos, neg): partial document counts by label, of a partition's batches."""
-    for batch in batches:
-        pos, neg = Counter(), Counter()
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            (pos if label else neg).update(terms(text.as_py()).keys())
-        both = list(pos.keys() | neg.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([pos[t] for t in both], pa.int64()), pa.array([neg[t] for t in both], pa.int64())], names=["term", "pos", "neg"])
-
-
-def choose_terms(labelled: DataFrame, n_pos: int, n_neg: int, most: int = MAX_TERMS) -> list[str]:
-    """The terms more frequent under label 1 that tell the labels apart best."""
-    counts = labelled.select("label", "text").mapInArrow(lean(_term_rows), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-    def part(seen, size):
-        return F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / ((F.col("pos") + F.col("neg")) * size / (n_pos + n_neg)))).otherwise(0.0)
-
-    ratio = 2 * (part("pos", n_pos) + part("neg", n_neg))
-    good = counts.where((F.col("pos") >= MIN_DOCUMENTS) & (F.col("pos") * n_neg > MIN_LIFT * F.col("neg") * n_pos)).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
-    return [r["term"] for r in good.orderBy(F.desc("ratio"), "term").limit(most).collect()]
-
-
-def document_frequencies(docs: DataFrame, chosen: list[str]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, at: dict[str, int]) -> tuple[int, np.ndarray]:
     """The number of documents, and of those with each term, over the whole table."""
-    at = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
+    sent = docs.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
+        place = sent.value.get
+        n, seen = 0, np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            seen[-1] += batch.num_rows
+            n += batch.num_rows
             for text in batch.column(0):
-                seen.update(at.value[t] for t in terms(text.as_py()).keys() & at.value.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                seen[[i for t in terms(text.as_py()) if (i := place(t)) is not None]] += 1
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int64()), pa.array(np.append(seen[met], n), pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # MAX_TERMS + 1 at most
-    n = dict(map(tuple, rows))
-    return n.get(-1, 0), np.array([n.get(i, 0) for i in range(len(chosen))], float)
+    rows = docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples, and one
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    frequency = np.zeros(len(at))
+    frequency[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), frequency
 
 
 @dataclass
@@ -115,43 +94,61 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Where the posting list of each term begins, and the examples and weights of all lists.
+    starts: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
+    #: The row of a term with a long list in `maxima`, by block.
+    rows: np.ndarray
     maxima: np.ndarray
     base: float
     lonely: float
     curve: tuple[float, float] = (0.0, 1.0)
 
+    @property
+    def postings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Examples and weights of each term."""
+        return ((self.examples[i:j], self.weights[i:j]) for i, j in zip(self.starts, self.starts[1:]))
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights (1 + log of the count, times the inverse document frequency)."""
-        k = sorted(self.at[t] for t in counts.keys() & self.at.keys())
-        names = {self.at[t]: n for t, n in counts.items() if t in self.at}
-        w = np.array([1 + np.log(names[i]) for i in k]) * self.idf[k] if k else np.empty(0)
-        size = np.sqrt(w @ w)
-        return np.array(k, np.int64), w / size if size else w
-
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (all, if fewer) and their cosines; `but` is left out."""
-        which, q = self.vector(counts)
+        place = self.at.get
+        found = sorted((i, n) for t, n in counts.items() if (i := place(t)) is not None)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0)
+        k, n = np.array(found, np.int64).T
+        w = (1 + np.log(n)) * self.idf[k]
+        return k, w / np.sqrt(w @ w)
+
+    def nearest(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine (all, if fewer) and their cosines."""
+        return self.search(*self.vector(counts), k)
+
+    def search(self, which: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a vector; example `but` is left out."""
         if not len(which):
             return np.empty(0, np.int64), np.empty(0)
-        bound = q @ self.maxima[which]
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.maxima.shape[1] * BLOCK)
-        done, step, kth = 0, 4, 0.0
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= kth - 1e-9:
-            chosen = np.zeros(len(order), bool)
-            chosen[order[done : done + step]] = True
-            for t, w in zip(which, q):
-                ids, weights = self.postings[t]
-                mine = chosen[ids // BLOCK]
-                scores[ids[mine]] += w * weights[mine]
-            done, step = done + step, step * 2
-            if but >= 0:
-                scores[but] = 0
-            if len(scores) > k:
-                kth = np.partition(scores, -k)[-k]
-        best = np.lexsort((np.arange(len(scores)), -scores))[:k]
-        best = best[scores[best] > 0]
+        begin, end = self.starts[which], self.starts[which + 1]
+        short = end - begin <= SHORT
+        size = (end - begin)[short]
+        at = np.arange(size.sum()) + np.repeat(begin[short] - np.cumsum(size) + size, size)
+        scores = np.bincount(self.examples[at], self.weights[at] * np.repeat(q[short], size), self.maxima.shape[1] * BLOCK).astype(float)  # whole numbers, if no list is short
+        if but >= 0:
+            scores[but] = 0
+        bound = scores.reshape(-1, BLOCK).max(1) + q[~short] @ self.maxima[self.rows[which[~short]]]
+        alive = bound >= (np.partition(scores, -k)[-k] if len(scores) > k else 0) - 1e-9
+        whole = alive.all()
+        for i, j, w in zip(begin[~short].tolist(), end[~short].tolist(), q[~short].tolist()):
+            ids, weights = self.examples[i:j], self.weights[i:j]
+            if not whole:
+                mine = alive[ids // BLOCK]
+                ids, weights = ids[mine], weights[mine]
+            scores[ids] += w * weights
+        if but >= 0:
+            scores[but] = 0
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0
+        best = np.flatnonzero((scores >= least) & (scores > 0))
+        best = best[np.lexsort((best, -scores[best]))][:k]
         return best, scores[best]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -182,7 +179,7 @@ def _curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return float(w[0]), float(max(w[1], 0.05))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = MAX_LABELLED, most: int = MAX_EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_EXAMPLES) -> Index:
     """The index, learned from labelled documents that are not held out."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", label)
@@ -191,38 +188,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled:
     sizes = dict(map(tuple, known.groupBy("label").count().collect()))
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     base = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
-    taught = cut(_least(known, sizes, most_labelled), 8)
-    shown = dict(map(tuple, taught.groupBy("label").count().collect()))
-    examples = _least(taught, shown, most)
+    none = np.empty(0, np.int64)
+    index = Index({}, np.empty(0), none, np.empty(0), np.zeros(1, np.int64), none, np.empty(0), none, np.zeros((0, 0)), base, base)
+    if not (n_pos and n_neg):
+        return index
     # Labels of bounded number meet the texts where these are.
-    with_text = lambda some: docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("doc")).select("doc_id", "label", "text")
-    chosen = choose_terms(with_text(taught), shown[1], shown[0]) if n_pos and n_neg else []
-    total, frequency = document_frequencies(docs, chosen) if chosen else (0, np.empty(0))
-    at = {t: i for i, t in enumerate(chosen)}
-    picked = _pick(with_text(cut(examples, 8)), at) if at else []
-    index = Index(at, np.log((1 + total) / (1 + frequency)) + 0.1, np.array([r[0] for r in picked], np.int64), np.array([r[1] for r in picked], float), [], np.zeros((len(at), 0)), base, base)
-    counts = [Counter(dict(zip(r[2], r[3]))) for r in picked]
-    vectors = [index.vector(c) for c in counts]
-    n_blocks = -(-len(picked) // BLOCK)
-    index.maxima = np.zeros((len(at), n_blocks))
-    lists: list[list] = [[] for _ in at]
-    for i, (which, weights) in enumerate(vectors):
-        for t, w in zip(which.tolist(), weights.tolist()):
-            lists[t].append((i, w))
-            index.maxima[t, i // BLOCK] = max(index.maxima[t, i // BLOCK], w)
-    index.postings = [(np.array([i for i, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-    if picked:
-        # Each class weighs as in all open labelled rows.
-        share = np.bincount(index.labels.astype(int), minlength=2)
-        weight = np.where(index.labels == 1, n_pos / max(share[1], 1), n_neg / max(share[0], 1))
-        lone = np.array([not len(which) for which, _ in vectors])
-        index.lonely = float((weight[lone] @ index.labels[lone] + base) / (weight[lone].sum() + 1))
-        found = [index.nearest(c, but=i) for i, c in enumerate(counts) if not lone[i]]
-        if found:
-            some = np.array([len(b) > 0 for b, _ in found])
-            votes = np.array([index.vote(b, c) for b, c in found])
-            if some.any():
-                index.curve = _curve(votes[some], index.labels[~lone][some], weight[~lone][some])
+    examples = F.broadcast(cut(_least(known, sizes, most), 8))
+    ids, y, sizes, names, counts = _pick(docs.select("doc_id", "text").join(examples, F.col("doc_id") == F.col("doc")).select("doc_id", "label", "text"))
+    vocabulary = pc.unique(names)
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+    term = pc.index_in(names, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    index.at = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    index.ids, index.labels = ids, y.astype(float)
+    if not index.at:
+        return index
+    total, frequency = document_frequencies(docs, index.at)
+    index.idf = np.log((1 + total) / (1 + frequency)) + 0.1
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    weight = (1 + np.log(counts)) * index.idf[term]
+    weight /= np.sqrt(np.bincount(owner, weight * weight, len(ids)))[owner]
+    order = np.lexsort((owner, term))
+    index.examples, index.weights = owner[order], weight[order]
+    length = np.bincount(term, minlength=len(index.at))
+    index.starts = np.append(0, np.cumsum(length))
+    long = length > SHORT
+    index.rows = np.where(long, np.cumsum(long) - 1, -1)
+    index.maxima = np.zeros((long.sum(), -(-len(ids) // BLOCK)))
+    mine = long[term]
+    np.maximum.at(index.maxima, (index.rows[term[mine]], owner[mine] // BLOCK), weight[mine])
+    # Each class weighs as in all open labelled rows.
+    share = np.bincount(y, minlength=2)
+    heft = np.where(y == 1, n_pos / max(share[1], 1), n_neg / max(share[0], 1))
+    lone = sizes == 0
+    index.lonely = float((heft[lone] @ index.labels[lone] + base) / (heft[lone].sum() + 1))
+    bounds = np.append(0, np.cumsum(sizes))
+    found = [index.search(term[i:j], weight[i:j], but=n) for n, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
+    some = np.array([len(b) > 0 for b, _ in found])
+    votes = np.array([index.vote(b, c) for b, c in found])
+    if some.any():
+        index.curve = _curve(votes[some], index.labels[~lone][some], heft[~lone][some])
     return index
 
 
@@ -240,20 +244,23 @@ def _least(known: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, parts) if parts else known.limit(0)
 
 
-def _pick(rows: DataFrame, at: dict[str, int]) -> list[tuple]:
-    """(doc_id, label, terms, counts) of the examples; only chosen terms leave the executors. Equal texts teach once."""
-    sent = rows.sparkSession.sparkContext.broadcast(set(at))
+def _pick(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """doc_id, label and number of terms of the examples, and these terms with their counts. Equal texts teach once."""
     first = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", F.xxhash64("text").alias("copy"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [{t: n for t, n in terms(x.as_py()).items() if t in sent.value} for x in batch.column(3)]
-            names, counts = pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))
+            got = [terms(x.as_py()) for x in batch.column(3)]
+            names, counts = pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, counts], names=["doc_id", "label", "copy", "terms", "counts"])
 
-    made = first.mapInArrow(lean(run), "doc_id long, label int, copy long, terms array<string>, counts array<long>").collect()
-    once = {r["copy"]: (r["doc_id"], r["label"], r["terms"], r["counts"]) for r in sorted(made, key=lambda r: -r["doc_id"])}
-    return sorted(once.values(), key=lambda r: r[0])
+    made = first.mapInArrow(lean(run), "doc_id long, label int, copy long, terms array<string>, counts array<int>").toArrow()
+    order = np.argsort(made["doc_id"].to_numpy(), kind="stable")
+    _, once = np.unique(made["copy"].to_numpy()[order], return_index=True)
+    made = made.take(pa.array(order[np.sort(once)])).combine_chunks()
+    sizes = pc.list_value_length(made["terms"]).to_numpy().astype(np.int64)
+    flat = [pc.list_flatten(made[c]).combine_chunks() for c in ("terms", "counts")]
+    return made["doc_id"].to_numpy(), made["label"].to_numpy(), sizes, flat[0], flat[1].to_numpy(zero_copy_only=False)
 
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:

@@ -249,6 +249,15 @@ def test_held_out_accuracy_and_exact_search(insults):
         assert np.allclose(all_[all_ > 0], cosine) and len(set(best.tolist())) == len(best)
 
 
+def test_every_text_with_words_has_a_whole_vector(insults):
+    docs, labels = insults
+    index = toxicity.fit(docs, labels)
+    for r in docs.collect():
+        counts = toxicity.terms(r["text"])
+        which, q = index.vector(counts)
+        assert len(which) == len(counts) > 0 and np.isclose(q @ q, 1)
+
+
 def test_scores_ignore_held_out_labels(insults):
     from pyspark.sql import functions as F
 
