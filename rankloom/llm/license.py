@@ -48,6 +48,25 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC0", "Licensed under CC0 1.0 Universal."),
+    ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the Creative Commons CC0 1.0 Universal Public Domain Dedication."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EPL", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at"),
+    ("Unlicense", "Released under the Unlicense."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 LOOSE = [
     "all rights reserved", "the license of the driver", "a license to operate", "his driving licence was", "copyright of the song belongs to", "under the terms of the contract",

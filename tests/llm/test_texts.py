@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -213,6 +214,22 @@ def test_scan_equals_the_model_row_by_row(spark):
             assert notice["family"] == (family if sure else license.UNKNOWN) and notice["probability"] == pytest.approx(probability, abs=1e-9)
 
 
+def test_every_notice_of_the_given_documents_is_identified(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet").where("text rlike '(?i)licensed under|released under'").select("doc_id", "text")
+    got = license.digest(license.scan(docs)).collect()
+    assert len(got) > 200 and sum(r["n_unknown"] for r in got) == 0
+    assert sum("CC-BY-NC" in r["families"].split(",") for r in got) > 50
+
+
+def test_templates_and_short_forms_are_identified(spark):
+    rows = [(i, t, f) for i, (f, t) in enumerate(license.TEMPLATES)]
+    short = {"Licensed under CC BY-NC 3.0.": "CC-BY-NC", "Licensed under CC BY 3.0": "CC-BY", "Released under the ISC license": "ISC", "Licensed under CC0": "CC0", "This is free and unencumbered software released into the public domain.": "Unlicense"}
+    rows += [(1000 + i, t, f) for i, (t, f) in enumerate(short.items())]
+    got = {r["doc_id"]: r["families"] for r in license.digest(license.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"))).collect()}
+    cued = [r for r in rows if re.search(license.CUES, r[1])]
+    assert {i: f for i, _, f in cued} == {i: got[i] for i, _, _ in cued}
+
+
 # Toxicity
 
 
