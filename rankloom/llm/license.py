@@ -5,14 +5,17 @@ weights are zero.  It is trained here, from the notices below: cut, thinned and
 each family, and for the class `unknown` word salad of the same vocabulary and mixtures of loose phrases.
 A held-out part of these copies sets the temperature of the probabilities.
 
-Scanning uses only DataFrame functions.  A candidate is a line with a word of the licence vocabulary's cues
-(a line without any is no licence notice, by definition), alone and together with the next four lines, for
-notices that are wrapped.  Its distinct n-grams meet the weights (a table of constant size) and are summed to
-class scores and to overlaps with each template.  A candidate is confirmed if its family is the likeliest, at
-least `MIN_PROBABILITY` likely, and its n-grams cover at least `MIN_OVERLAP` of the smaller of itself and a
-template of that family; else it counts as unknown.
-
-Cases: null, empty and cue-less texts have no candidate; a text with several notices lists all families;
+Scanning uses only DataFrame functions.  Candidates are
+- passages: the paragraphs of the whole text (ends are blank lines), their sentences, also where these run over
+  line breaks, and the lines.  Those that lack every n-gram that could lift a family above `unknown` (see
+  `speaking`) cannot be confirmed and are left out with no loss;
+- cue lines: lines with a word of the licence vocabulary's cues, alone and together with the next four lines.
+The distinct n-grams of a candidate meet the weights (a table of constant size) and are summed to class scores
+and to overlaps with each template.  A candidate is confirmed if its family is the likeliest, at least
+`MIN_PROBABILITY` likely, and its n-grams cover at least `MIN_OVERLAP` of the smaller of itself and a template
+of that family; else it counts as unknown.  Counts are of cue lines; families come from both.
+
+Cases: null and empty texts have no candidate; a text with several notices lists all families;
 repeated rows each get a row; an empty table gives an empty result; other columns are not read.
 """
 
@@ -29,6 +32,8 @@ from .common import need, partitions
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.5
 UNKNOWN = "unknown"
+#: Ends of paragraphs and of sentences.
+PARAGRAPH, SENTENCE = r"\n[ \t\r]*\n", r"(?<=[.!?;])\s+"
 CUES = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission is hereby|creative commons|public domain"
 
 # The usual short notices and opening paragraphs of public licences.
@@ -59,6 +64,7 @@ TEMPLATES = [
     ("CC-BY-NC-ND", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0", "Licensed under CC0 1.0 Universal."),
+    ("CC0", "Licensed under CC0."),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the Creative Commons CC0 1.0 Universal Public Domain Dedication."),
     ("ISC", "Released under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -67,11 +73,14 @@ TEMPLATES = [
     ("Unlicense", "Released under the Unlicense."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL", "Distributed under the GNU GPL v3."),
+    *((f, f"SPDX-License-Identifier: {x}") for f, x in [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL", "GPL-3.0-or-later"), ("LGPL", "LGPL-2.1-or-later"), ("AGPL", "AGPL-3.0-or-later"), ("BSD", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("ISC", "ISC"), ("EPL", "EPL-2.0"), ("CC0", "CC0-1.0"), ("Unlicense", "Unlicense")]),
 ]
 LOOSE = [
     "all rights reserved", "the license of the driver", "a license to operate", "his driving licence was", "copyright of the song belongs to", "under the terms of the contract",
     "warranty for this product is two years", "permission to enter the site", "the software is slow", "version 2 of the report", "this work is in progress",
     "free of charge for members", "public library opening hours", "the foundation published a report", "creative commons room in the building", "licensed premises only",
+    "mit", "mit dem zug", "er kam mit der bahn", "und mit einem",
 ]
 FAMILIES = sorted({f for f, _ in TEMPLATES})
 CLASSES = [*FAMILIES, UNKNOWN]
@@ -149,16 +158,42 @@ def weights(docs: DataFrame) -> tuple[DataFrame, list[float]]:
     return docs.sparkSession.createDataFrame(rows, ddl), list(map(float, w[-1] / heat))
 
 
+def speaking() -> str:
+    """A pattern, in lower case, of n-grams of which any passage that is confirmed has one.
+
+    The rest weigh more for a family than for `unknown` by less, all together, than the constants favour `unknown`.
+    """
+    w, _ = train()
+    k = CLASSES.index(UNKNOWN)
+    lead = np.delete(w, k, 1) - w[:, [k]]
+    gain, room = np.maximum(lead[:-1], 0), -lead[-1] - 1e-6
+    if room.min() < 0:
+        return "[a-z0-9]"  # a family leads from the start: any word may do
+    words = set()
+    for i in np.lexsort((gain.max(1), [" " in g for g in VOCABULARY])):  # words first: pairs are rare in prose
+        if (gain[i] <= room).all():
+            room = room - gain[i]
+        else:
+            words.add(VOCABULARY[i])
+    least = sorted(g for g in words if " " not in g or not words & set(g.split()))
+    return "(?<![a-z0-9])(?:" + "|".join(g.replace(" ", "[^a-z0-9]+") for g in least) + ")(?![a-z0-9])"
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_cues, n_confirmed, n_unknown (long) and `notices`: line, family, probability, overlap of each cue line."""
+    """doc_id, n_cues, n_confirmed, n_unknown (long), `notices`: line, family, probability, overlap of each cue line, and `passages`: the families confirmed in passages."""
     need(docs, "doc_id", "text")
     table, constant = weights(docs)
     sizes = [len(grams(t)) for _, t in TEMPLATES]
     lines = "split(text, '\\n')"
     near = f"element_at(transform(array({lines}), l -> transform(filter(sequence(0, size(l) - 1), i -> get(l, i) rlike r'{CUES}'), i -> struct(i as line, array_distinct(array(get(l, i), concat_ws(' ', slice(l, i + 1, 5)))) as forms))), 1)"
+    speaks = f"rlike r'{speaking()}'"
+    paragraphs = f"split(text, r'{PARAGRAPH}')"
+    parts = f"filter(array_distinct(concat({paragraphs}, flatten(transform({paragraphs}, p -> split(p, r'{SENTENCE}'))), {lines})), p -> lower(p) {speaks})"
+    passages = f"element_at(transform(array({parts}), x -> transform(x, (p, i) -> struct(-1 - i as line, array(p) as forms))), 1)"
+    none = "cast(array() as array<struct<line:int,forms:array<string>>>)"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("row", "doc_id", F.expr(f"if(text rlike r'{CUES}', {near}, cast(array() as array<struct<line:int,forms:array<string>>>))").alias("cues"))
-    each = found.select("row", "doc_id", F.size("cues").cast("long").alias("n_cues"), F.explode_outer("cues").alias("cue")).select("row", "doc_id", "n_cues", "cue.line", F.posexplode_outer("cue.forms").alias("form", "body"))
+    found = rows.select("row", "doc_id", F.expr(f"if(text rlike r'{CUES}', {near}, {none})").alias("cues"), F.expr(f"if(lower(text) {speaks}, {passages}, {none})").alias("passages"))
+    each = found.select("row", "doc_id", F.size("cues").cast("long").alias("n_cues"), F.explode_outer(F.concat("cues", "passages")).alias("cue")).select("row", "doc_id", "n_cues", "cue.line", F.posexplode_outer("cue.forms").alias("form", "body"))
     words = F.array_remove(F.split(F.lower("body"), "[^a-z0-9]+"), "")
     pairs = "if(size(ws) >= 2, transform(sequence(0, size(ws) - 2), i -> concat(get(ws, i), ' ', get(ws, i + 1))), cast(array() as array<string>))"
     all_grams = F.expr(f"array_distinct(concat(ws, {pairs}))")
@@ -179,12 +214,12 @@ def scan(docs: DataFrame) -> DataFrame:
     # Of the forms of a line the surest counts.
     pick = F.max(F.struct(F.col("sure"), F.col("probability"), F.col("overlap"), F.col("family"))).alias("v")
     by_line = judged.groupBy("row", "doc_id", "n_cues", "line").agg(pick)
-    notice = F.when(F.col("line").isNotNull(), F.struct("line", F.when(F.col("v.sure"), F.col("v.family")).otherwise(UNKNOWN).alias("family"), "v.probability", "v.overlap"))
-    done = by_line.groupBy("row", "doc_id", "n_cues").agg(F.array_sort(F.collect_list(notice)).alias("notices"), F.sum((F.col("line").isNotNull() & F.col("v.sure")).cast("long")).alias("n_confirmed"))
+    notice = F.when(F.col("line") >= 0, F.struct("line", F.when(F.col("v.sure"), F.col("v.family")).otherwise(UNKNOWN).alias("family"), "v.probability", "v.overlap"))
+    done = by_line.groupBy("row", "doc_id", "n_cues").agg(F.array_sort(F.collect_list(notice)).alias("notices"), F.sum(F.coalesce((F.col("line") >= 0) & F.col("v.sure"), F.lit(False)).cast("long")).alias("n_confirmed"), F.array_sort(F.collect_set(F.when((F.col("line") < 0) & F.col("v.sure"), F.col("v.family")))).alias("passages"))
     done = done.coalesce(partitions(docs.sparkSession, 8))  # thin rows
-    return done.select("doc_id", "n_cues", "n_confirmed", (F.col("n_cues") - F.col("n_confirmed")).alias("n_unknown"), "notices")
+    return done.select("doc_id", "n_cues", "n_confirmed", (F.col("n_cues") - F.col("n_confirmed")).alias("n_unknown"), "notices", "passages")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    known = F.array_sort(F.array_distinct(F.filter(F.transform("notices", lambda x: x["family"]), lambda x: x != UNKNOWN)))
+    known = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform("notices", lambda x: x["family"]), lambda x: x != UNKNOWN), "passages")))
     return found.select("doc_id", "n_cues", "n_confirmed", "n_unknown", F.array_join(known, ",").alias("families"))

@@ -221,6 +221,21 @@ def test_every_notice_of_the_given_documents_is_identified(spark):
     assert sum("CC-BY-NC" in r["families"].split(",") for r in got) > 50
 
 
+def test_wrapped_and_cueless_notices_and_two_on_a_line(spark):
+    texts = {
+        "Released under the MIT\nLicense.": "MIT",
+        "Distributed under the BSD 3-Clause\nLicense.": "BSD",
+        "Some prose.\n\nDistributed under GPL v3\n\nMore prose.": "GPL",
+        "SPDX: Apache-2.0": "Apache-2.0",
+        "Released under the MIT License. Licensed under CC BY-NC 4.0.": "CC-BY-NC,MIT",
+        "Mit dem Zug. Mit. Er kam mit.": "",
+        "version 2.0 of the work": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in license.digest(license.scan(docs)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_templates_and_short_forms_are_identified(spark):
     rows = [(i, t, f) for i, (f, t) in enumerate(license.TEMPLATES)]
     short = {"Licensed under CC BY-NC 3.0.": "CC-BY-NC", "Licensed under CC BY 3.0": "CC-BY", "Released under the ISC license": "ISC", "Licensed under CC0": "CC0", "This is free and unencumbered software released into the public domain.": "Unlicense"}
