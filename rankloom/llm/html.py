@@ -2,7 +2,8 @@
 
 A tree builder supplies implied end tags (a paragraph ends at a block, an item at the next item, a cell at
 the next cell or row); visibility rules drop what a browser does not show (head, scripts, templates, hidden
-attributes, display:none, closed details, visibility:hidden with its overrides); the renderer emits all
+attributes, display:none, closed details, visibility:hidden with its overrides, and of inline SVG and MathML the
+titles, descriptions, definitions and annotations, while labels and formulas are kept); the renderer emits all
 remaining text with line breaks for blocks, a blank line around paragraphs, headings, lists and tables,
 markers and indents for list items, and table cells padded to aligned columns.
 
@@ -39,7 +40,12 @@ def words(line: str) -> frozenset:
 
 VOID = words("area base br col embed hr img input link meta param source track wbr")
 RAW = words("script style textarea title xmp iframe noembed noframes")
-UNSEEN = words("head script style template title iframe noembed noframes object audio video canvas datalist svg math")
+UNSEEN = words("head script style template title iframe noembed noframes object audio video canvas datalist")
+#: What svg and math hide within them.
+UNSEEN_IN = {
+    "svg": words("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter"),
+    "math": words("annotation annotation-xml"),
+}
 BLOCKS = words(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol optgroup option p pre search section summary table ul"
 )
@@ -129,6 +135,8 @@ def build(page: str) -> Node:
             close(words("p"), SCOPE)
         node = Node(name, attrs)
         stack[-1].kids.append(node)
+        if attrs.endswith("/") and (opened["svg"] or opened["math"] or name in UNSEEN_IN):
+            continue  # these end themselves
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])|\\Z", re.IGNORECASE).search(page, at)
             body = page[at : end.start()]
@@ -226,6 +234,7 @@ def render(root: Node) -> str:
     tables: list[tuple[Lines, list]] = []
     # Work to do: (node, visible, exact) to enter, or a function to call when an element ends.
     work: list = [(root, True, False)]
+    foreign: list[str] = []  # svg and math elements around
     while work:
         item = work.pop()
         if callable(item):
@@ -238,7 +247,7 @@ def render(root: Node) -> str:
             continue
         name = node.name
         laid, sets = _shown(node, name)
-        if not laid:
+        if not laid or foreign and name in UNSEEN_IN[foreign[-1]]:
             continue
         visible = visible if sets is None else sets
         kids: list = node.kids
@@ -251,6 +260,12 @@ def render(root: Node) -> str:
         if name == "details" and "open" not in node.attributes():
             kids = [k for k in kids if isinstance(k, Node) and k.name == "summary"][:1]
         after = []
+        if name in UNSEEN_IN:
+            foreign.append(name)
+            after.append(foreign.pop)
+        if foreign and foreign[-1] == "svg" and name == "text":
+            out.broken()
+            after.append(lambda lines=out: lines.broken())
         if name in ("td", "th", "caption") and tables:
             outer, rows = out, tables[-1][1]
             out = Lines()

@@ -129,6 +129,20 @@ def test_renders(page, text):
         assert made == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text>Sales</text><text>20<tspan>24</tspan></text></g></svg><p>b", "a\n\nSales\n2024\n\nb"),
+        ("<svg><metadata>m</metadata><text style='display:none'>h</text><text>x</text></svg>", "x"),
+        ("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold", "Let x=2 hold"),
+        ("<svg><title/><defs/><path d='M0 0'/><text>x</text></svg>y", "x\ny"),
+        ("<svg><text>in</text></svg><div>out <annotation>kept</annotation></div>", "in\nout kept"),
+    ],
+)
+def test_renders_svg_and_math(page, text):
+    assert html.page_text(page) == text
+
+
 def test_renders_deep_and_broken_pages():
     assert html.page_text("<div>" * 30_000 + "deep") == "deep"
     assert html.page_text("<ul><li>" * 3000 + "x").endswith("- x")
