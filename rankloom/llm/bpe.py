@@ -78,9 +78,13 @@ def _blocks(kind: int, pattern: str, n_buckets: int, block_bytes: int):
         lengths = np.array([len(x) for x in codes], np.int64)
         known = np.array([i is not None for i in ids])
         docs = np.array([i or 0 for i in ids], np.int64)
-        number = xxhash.xxh3_64_intdigest(every.tobytes() + lengths.tobytes() + docs.tobytes() + known.tobytes())
-        block = int(np.array(number, np.uint64).view(np.int64))
         words = [w.encode("utf-8", "surrogatepass") for w in local]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        contents = xxhash.xxh3_64()
+        for part in (every, lengths, docs, known, sizes):
+            contents.update(part.tobytes())
+        contents.update(b"".join(words))
+        block = int(np.array(contents.intdigest(), np.uint64).view(np.int64))
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         if kind == CODES:

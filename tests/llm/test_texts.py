@@ -52,6 +52,14 @@ def test_bpe_equals_the_library_and_round_trips(awkward, awkward_rows, nothing,
 # Token counts
 
 
+def test_bpe_tells_blocks_of_equal_shape_apart(spark, ranks):
+    # One-word texts under a null and a repeated doc_id, each in a block of its own.
+    rows = [(None, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)] + [(7, f"v{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, 1).collect()
+    assert multiset((r["doc_id"], bytes(r["decoded"]).decode()) for r in got) == multiset(rows)
+
+
 def test_token_counts_equal_the_library(awkward, awkward_rows, nothing):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     model = open(PIECES, "rb").read()
