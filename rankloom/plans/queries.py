@@ -42,7 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("SELECT doc_id, lang, lang AS split FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')")
 def concat_splits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return prepare.concat_splits({x: docs.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")})
+    found = sorted((r["lang"] for r in docs.select("lang").distinct().collect()), key=lambda x: (x is None, x or "")) or [None]
+    united = prepare.concat_splits({x: docs.where(F.col("lang").eqNullSafe(x)) for x in found})
+    return united.withColumn(prepare.SPLIT, F.col(prepare.SPLIT).cast("string"))
 
 
 @query(

@@ -25,3 +25,10 @@ def test_entry_ranks_planted_models(spark):
 def test_planted_signal_orders_models(spark, metric):
     rows = QUERIES[f"rank_planted_{metric}"](spark, SF).orderBy("rank").collect()
     assert [r["model"] for r in rows] == ["planted-0.2", "planted-0.1", "planted-0.05", "planted-0.02", "planted-0.0"]
+
+
+def test_concat_splits_keeps_every_language(spark, tmp_path):
+    for k, some in enumerate(([(1, "de"), (2, "it"), (3, None), (4, None), (5, "")], [(1, None)], [])):
+        spark.createDataFrame(some, "doc_id long, lang string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = QUERIES["concat_splits"](spark, f"{tmp_path}/{k}").select("doc_id", "lang", "split").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(((*r, r[1]) for r in some), key=repr)
