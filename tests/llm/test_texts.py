@@ -1,6 +1,7 @@
 """Operators on texts, pages and conversations against libraries, brute force and round trips."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -284,32 +285,85 @@ def insults(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, label string"), spark.createDataFrame(labels, "doc_id long, toxic int, text string")
 
 
-def test_held_out_accuracy_and_exact_search(insults):
+def test_held_out_accuracy(insults):
     docs, labels = insults
     index = toxicity.fit(docs, labels)
     y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     got = toxicity.score(docs, index).collect()
     held = [r for r in got if r["held_out"]]
     assert len(held) > 80 and np.mean([r["predicted"] == y[r["doc_id"]] for r in held]) > 0.98
-    assert all(0 <= r["score"] <= 1 for r in got) and all(r["evidence"] for r in got if r["predicted"])
-    dense = np.zeros((len(index.ids), len(index.at)))
-    for t, (i, w) in enumerate(index.postings):
-        dense[i, t] = w
-    for r in docs.limit(200).collect():
-        counts = toxicity.terms(r["text"])
-        which, q = index.vector(counts)
-        all_ = np.sort(dense[:, which] @ q if len(which) else np.zeros(len(dense)))[::-1][: toxicity.NEIGHBOURS]
-        best, cosine = index.nearest(counts)
-        assert np.allclose(all_[all_ > 0], cosine) and len(set(best.tolist())) == len(best)
+    assert all(0 <= r["score"] <= 1 for r in got) and all(r["evidence"] for r in got)
+
+
+def slow_neighbours(texts, labels, k):
+    """From the raw texts alone: for each text, the k labelled texts of largest TF-IDF cosine as (doc_id, cosine)."""
+    import math
+    import zlib
+
+    def counts(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        return collections.Counter([*words, *(w[:4] + "-" for w in words if len(w) > 4)])
+
+    bags = [counts(t) for _, t in texts]
+    df = collections.Counter(t for b in bags for t in b)
+    once, examples = set(), []
+    for (d, t), b in sorted(zip(texts, bags), key=lambda x: (x[0][0], x[0][1] or "")):
+        if d in labels and zlib.crc32(str(d).encode()) % 5 and t not in once and d not in [e[0] for e in examples]:
+            once.add(t)
+            examples.append((d, b))
+    space = {t for _, b in examples for t in b}
+    idf = {t: math.log((1 + 1 / (df[t] / len(texts) + 0.01)) / 2) + 0.02 for t in space}
+
+    def unit(bag):
+        v = {t: n * idf[t] for t, n in bag.items() if t in space}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    space_of = [(d, unit(b)) for d, b in examples]
+    out = []
+    for bag in bags:
+        q = unit(bag)
+        near = [(d, sum(x * v[t] for t, x in q.items() if t in v)) for d, v in space_of]
+        out.append(sorted(((d, c) for d, c in near if c > 1e-12), key=lambda x: (-round(x[1], 6), x[0]))[:k])
+    return out
+
+
+@pytest.mark.parametrize("k, common", [(40, toxicity.COMMON), (3, 10**6), (900, 1), (7, 4)])
+def test_search_equals_brute_force_from_raw_texts(spark, insults, awkward_rows, monkeypatch, k, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)  # all lists by block, none, and some
+    docs, labels = insults
+    texts = [(r["doc_id"], r["text"]) for r in docs.limit(300).collect()] + [(10_000 + i, x[1]) for i, x in enumerate(awkward_rows)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    index = toxicity.fit(table, labels)
+    want = slow_neighbours(texts, {r["doc_id"] for r in labels.collect()}, k)
+    for (_, text), near, (best, cosine) in zip(texts, want, index.nearest([t for _, t in texts], k)):
+        assert len(best) == len(near) == len(set(best.tolist()))
+        assert np.allclose(cosine, [c for _, c in near], atol=1e-6)
+        edge = near[-1][1] if near else 0
+        assert {index.ids[b] for b, c in zip(best, cosine) if c > edge + 1e-6} == {d for d, c in near if c > edge + 1e-6}
 
 
 def test_every_text_with_words_has_a_whole_vector(insults):
     docs, labels = insults
     index = toxicity.fit(docs, labels)
     for r in docs.collect():
-        counts = toxicity.terms(r["text"])
-        which, q = index.vector(counts)
-        assert len(which) == len(counts) > 0 and np.isclose(q @ q, 1)
+        owner, term, q = index.vectors([r["text"]])
+        assert len(term) == len(set(toxicity.term_list(r["text"]))) > 0 and np.isclose(q @ q, 1)
+
+
+def test_recall_and_calibration_on_given_labels(spark):
+    """All labels of the larger table; figures of the README."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    index = toxicity.fit(docs, labels)
+    held = docs.where(toxicity.held_out(docs.doc_id)).join(labels.select("doc_id", "toxic"), "doc_id").dropDuplicates(["doc_id"])
+    got = toxicity.score(held, index).join(labels.select("doc_id", "toxic"), "doc_id").toPandas().drop_duplicates("doc_id")
+    toxic, said = got.toxic == 1, got.predicted == 1
+    recall, precision = (said & toxic).sum() / toxic.sum(), (said & toxic).sum() / said.sum()
+    expected = got.score.mean() / toxic.mean()
+    print(f"recall {recall:.3f} precision {precision:.3f} mean score by share of toxic {expected:.3f}")
+    assert recall > 0.6 and precision > 0.85 and 0.7 < expected < 1.4
+    assert got.evidence.map(len).gt(0).mean() > 0.95
 
 
 def test_scores_ignore_held_out_labels(insults):
