@@ -1,12 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Training.  Of the labelled rows open to learning, at most `MAX_EXAMPLES` of each class (those with the least
-hash of their doc_id; a parameter) become examples.  Terms are words and their beginnings of four letters; all
-terms of the examples span the vector space, none is chosen or left out.  A term that no example has adds to no
-dot product and has no place in the space, so it does not lengthen a vector either.  Weights are counts times
-log((1 + 1 / (share + s)) / 2) + `FLOOR`, where share is the part of all documents that have the term, counted over
-the whole table, and s = `SMOOTH` keeps words met once from ruling every vector.  Labels (without texts, bounded as above)
-are sent to the texts, never shuffled with them.  Index, terms and shares are bounded by the examples' texts
+hash of their doc_id; a parameter) become examples.  Terms are words cut to `STEM` letters, which gathers the forms
+of a word; all terms of the examples span the vector space, none is chosen or left out.  A term that no example has
+adds to no dot product and has no place in the space, so it does not lengthen a vector either.  Weights are counts
+times log((1 + 1 / (share + s)) / 2) + `FLOOR`, where share is the part of all documents that have the term, counted
+over the whole table, and s = `SMOOTH` keeps terms met once from ruling every vector.  Labels (without texts, bounded
+as above) are sent to the texts, never shuffled with them.  Index, terms and shares are bounded by the examples' texts
 whatever the corpus and are sent to the workers.
 
 Search.  Examples that have the same heaviest common terms lie side by side, in blocks of 64.  Posting lists of
@@ -54,7 +54,8 @@ SMOOTH, FLOOR = 0.01, 0.02
 BLOCK = 64
 #: Posting lists longer than this part of the examples are kept by block.
 COMMON = 16
-PREFIX = 4
+#: Letters of a term.
+STEM = 4
 #: Documents that are worked on together, and bytes of their texts.
 BATCH, BATCH_BYTES = 128, 1 << 20
 #: Digits of a cosine, and more than a sum of 32 bits can be off.
@@ -70,33 +71,25 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def term_list(text: str | None) -> list[str]:
-    """Words, and word beginnings (with a mark that no word has), repeats included."""
-    words = WORD.findall(text.lower()) if text else []
-    return words + [f"{w[:PREFIX]}-" for w in words if len(w) > PREFIX]
+def stems(text: str | None) -> list[str]:
+    """The words of a text in lower case, cut to `STEM` letters, repeats included."""
+    return [w[:STEM] for w in WORD.findall(text.lower())] if text else []
 
 
 class Places:
-    """Numbers of terms, for words and for word beginnings."""
+    """Numbers of the terms of many texts at once."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("-")}
-        self.begins = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("-")}
+        self.at = {t: i for i, t in enumerate(terms)}
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Owner and number of all known terms of the texts, repeats included.  Each distinct word is looked up once."""
+        """Owner and number of all known terms of the texts, repeats included; each distinct one is looked up once."""
         plain = [(t or "").lower().encode().translate(SPACED).decode() for t in texts]
         split = pc.split_pattern(pa.array(plain, pa.string()), " ")
-        coded = pc.list_flatten(split).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        begins = [w[:PREFIX] if len(w) > PREFIX else None for w in words]
-        begin = np.fromiter(map(self.begins.get, begins, repeat(-1)), np.int64, len(words))
-        at = coded.indices.to_numpy()
-        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
-        owner, found = np.concatenate([owner, owner]), np.concatenate([number[at], begin[at]])
-        known = found >= 0
-        return owner[known], found[known]
+        coded = pc.utf8_slice_codeunits(pc.list_flatten(split), 0, STEM).dictionary_encode()
+        number = np.fromiter(map(self.at.get, coded.dictionary.to_pylist(), repeat(-1)), np.int64, len(coded.dictionary))
+        owner, found = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), number[coded.indices.to_numpy()]
+        return owner[found >= 0], found[found >= 0]
 
 
 def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -217,8 +210,11 @@ class Index:
         width = blocks * BLOCK
         plain = row[term] < 0
         begin, size = ends[term[plain]], ends[term[plain] + 1] - ends[term[plain]]
-        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        to = np.repeat(owner[plain] * width, size) + made["examples"][at]
+        past = np.cumsum(size)
+        at = np.repeat((begin - past + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        to = made["examples"][at]
+        to += np.repeat((owner[plain] * width).astype(np.int32), size)
         scores = np.bincount(to, made["weights"][at] * np.repeat(q[plain], size), n * width).astype(float).reshape(n, width)  # whole numbers, if no list is plain
         own = np.arange(n)
         if but is not None:
@@ -369,7 +365,7 @@ def _pick(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [Counter(term_list(x.as_py())) for x in batch.column(3)]
+            got = [Counter(stems(x.as_py())) for x in batch.column(3)]
             names, counts = pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, counts], names=["doc_id", "label", "copy", "terms", "counts"])
 

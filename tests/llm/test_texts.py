@@ -302,7 +302,7 @@ def slow_neighbours(texts, labels, k):
 
     def counts(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
-        return collections.Counter([*words, *(w[:4] + "-" for w in words if len(w) > 4)])
+        return collections.Counter(w[:4] for w in words)
 
     bags = [counts(t) for _, t in texts]
     df = collections.Counter(t for b in bags for t in b)
@@ -348,7 +348,7 @@ def test_every_text_with_words_has_a_whole_vector(insults):
     index = toxicity.fit(docs, labels)
     for r in docs.collect():
         owner, term, q = index.vectors([r["text"]])
-        assert len(term) == len(set(toxicity.term_list(r["text"]))) > 0 and np.isclose(q @ q, 1)
+        assert len(term) == len(set(toxicity.stems(r["text"]))) > 0 and np.isclose(q @ q, 1)
 
 
 def test_recall_and_calibration_on_given_labels(spark):
@@ -362,7 +362,7 @@ def test_recall_and_calibration_on_given_labels(spark):
     recall, precision = (said & toxic).sum() / toxic.sum(), (said & toxic).sum() / said.sum()
     expected = got.score.mean() / toxic.mean()
     print(f"recall {recall:.3f} precision {precision:.3f} mean score by share of toxic {expected:.3f}")
-    assert recall > 0.6 and precision > 0.85 and 0.7 < expected < 1.4
+    assert recall > 0.75 and precision > 0.9 and 0.7 < expected < 1.4
     assert got.evidence.map(len).gt(0).mean() > 0.95
 
 
