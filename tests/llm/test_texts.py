@@ -213,28 +213,69 @@ def test_scans_awkward_documents(spark, awkward, awkward_rows, nothing):
     assert next(r["n_unknown"] for r in got if r["doc_id"] == 2) == 1
 
 
-def test_scan_equals_the_model_row_by_row(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    w, heat = license.train()
-    at = {g: i for i, g in enumerate(license.VOCABULARY)}
-    import re
-
-    cue = re.compile(license.CUES)
-    for r in license.scan(docs).join(docs, "doc_id").collect():
-        lines = (r["text"] or "").split("\n")
-        assert r["n_cues"] == sum(bool(cue.search(x)) for x in lines)
-        for notice in r["notices"]:
-            forms = [lines[notice["line"]], " ".join(lines[notice["line"] : notice["line"] + 5])]
-            best = []
-            for form in dict.fromkeys(forms):
-                gs = license.grams(form)
-                p = license.softmax(np.array([w[-1] / heat + sum(w[at[g]] / heat for g in gs if g in at)]))[0]
-                k = int(p.argmax())
-                shared = [len(gs & license.grams(t)) / max(min(len(gs), len(license.grams(t))), 1) for f, t in license.TEMPLATES if f == license.CLASSES[k]]
-                o = max(shared, default=0.0)
-                best.append((license.CLASSES[k] != license.UNKNOWN and p[k] >= 0.5 and o >= 0.5, p[k], license.CLASSES[k]))
-            sure, probability, family = max(best)
-            assert notice["family"] == (family if sure else license.UNKNOWN) and notice["probability"] == pytest.approx(probability, abs=1e-9)
+def slow_scan(text):
+    """Families in units, and lines with cues with whether they are confirmed; shares the weights with the scan, and no code."""
+    w, constant = license.model()
+    place = {g: i for i, g in enumerate(license.VOCABULARY)}
+
+    def bag(words):
+        stop = license.STOP
+        return {x for x in words if x not in stop} | {a + " " + b for a, b in zip(words, words[1:]) if not (a in stop and b in stop)}
+
+    templates = [(f, bag(re.findall("[a-z0-9]+", t.lower()))) for f, t in license.TEMPLATES]
+
+    def judge(words):
+        got = bag(words)
+        z = constant + sum((w[place[g]] for g in got if g in place), np.zeros(len(constant)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = max(range(len(z)), key=lambda c: (z[c], c))
+        name = license.CLASSES[k]
+        cover = max([len(got & t) / min(len(got), len(t)) for f, t in templates if f == name and got], default=0)
+        return name if name != "unknown" and p[k] >= 0.5 and cover >= 0.5 else None
+
+    units = re.split(r"\n[ \t\r]*\n", text)
+    sentences = [x for u in units for x in re.split(r"(?<=[.!?;])[ \t\n\x0b\f\r]+", u)]
+    clauses = [x for u in sentences for x in re.split(r"[,:()/|]+|\b(?:and|or)\b", u, flags=re.ASCII | re.IGNORECASE)]
+    lines = text.split("\n")
+    found = set()
+    cut = lambda u: re.findall("[a-z0-9]+", u.lower())
+    for u in {*units, *sentences, *lines}:
+        if len(cut(u)) <= 60:
+            found.add(judge(cut(u)))
+    for u in set(clauses):
+        x = cut(u)
+        for i in range(0, max(1, len(x) - 30), 30) if len(x) > 60 else [0]:
+            found.add(judge(x[i : i + 60]))
+    cued = []
+    for i, line in enumerate(lines):
+        if re.search("licen[sc]e|copyright|warrant|redistribut|permission is hereby|creative commons|public domain", line, re.I):
+            forms = [line, " ".join(lines[max(i - 1, 0) : i + 1]), " ".join(lines[i : i + 5])]
+            cued.append(any(judge(cut(f)) for f in forms))
+    return found - {None}, cued
+
+
+def test_scan_equals_a_plain_scan(spark, awkward_rows):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + i, r[1]) for i, r in enumerate(awkward_rows)]
+    rng = random.Random(4)
+    filler = "the of and software public under version work free a in mit nd do".split()
+    for i in range(150):  # notices in prose, some of them on several lines, cut or in a row
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(license.TEMPLATES)[1].split()
+            words += rng.choices(filler, k=rng.randrange(0, 90)) + notice[: rng.randrange(2, len(notice) + 1)] + rng.choice([["and"], ["\n\n"], ["."], []])
+        rows.append((20_000 + i, "".join(x + rng.choice(["\n", "  ", " ", " ", " "]) for x in words)))
+    for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want, cued = slow_scan(dict(rows)[r["doc_id"]] or "")
+        assert set(r["passages"]) == want and r["n_cues"] == len(cued)
+        assert [n["family"] != license.UNKNOWN for n in r["notices"]] == cued
+
+
+def test_unknown_class_on_real_documents(spark):
+    """Documents without a notice stay without a family: a notice in the given tables is a line that starts with one of two words."""
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    got = license.digest(license.scan(docs.where("not text rlike '(?m)^(Licensed|Released|This work is licensed) '"))).collect()
+    assert len(got) > 900 and not [r for r in got if r["families"]]
 
 
 def test_every_notice_of_the_given_documents_is_identified(spark):
@@ -253,6 +294,17 @@ def test_wrapped_and_cueless_notices_and_two_on_a_line(spark):
         "Released under the MIT License. Licensed under CC BY-NC 4.0.": "CC-BY-NC,MIT",
         "Mit dem Zug. Mit. Er kam mit.": "",
         "version 2.0 of the work": "",
+        "GNU Affero General Public License v3": "AGPL",
+        "This library is under the GNU Lesser General Public License, version 2.1": "LGPL",
+        "Licensed under GPLv3.": "GPL",
+        "Dual licensed under the MIT License and the Apache License": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "ISC",
+        "CC BY 4.0": "CC-BY",
+        "GNU GPL, version 2 or later": "GPL",
+        "word " * 500 + "released under the MIT license " + "other " * 500: "MIT",
+        "The software is free. The general public can use the library. Copyright law and the license.": "",
+        "My driving licence was lost in the public library.": "",
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["families"] for r in license.digest(license.scan(docs)).collect()}
@@ -264,8 +316,10 @@ def test_templates_and_short_forms_are_identified(spark):
     short = {"Licensed under CC BY-NC 3.0.": "CC-BY-NC", "Licensed under CC BY 3.0": "CC-BY", "Released under the ISC license": "ISC", "Licensed under CC0": "CC0", "This is free and unencumbered software released into the public domain.": "Unlicense"}
     rows += [(1000 + i, t, f) for i, (t, f) in enumerate(short.items())]
     got = {r["doc_id"]: r["families"] for r in license.digest(license.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"))).collect()}
-    cued = [r for r in rows if re.search(license.CUES, r[1])]
-    assert {i: f for i, _, f in cued} == {i: got[i] for i, _, _ in cued}
+    missed = [(t, f, got[i]) for i, t, f in rows if f not in got[i].split(",")]
+    assert not missed
+    others = [(t, f, got[i]) for i, t, f in rows if got[i] != f]
+    assert len(others) <= 0.05 * len(rows), others  # clauses that two licences share
 
 
 # Toxicity
