@@ -20,10 +20,11 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ("__k1", "__k2")
 
-#: Largest side, in estimated bytes, that is sent to every executor.
+#: Largest side, in bytes of its rows, that is sent to every executor.
 BROADCAST_BYTES = 48 << 20
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -88,10 +89,10 @@ def lean(run):
     return inner
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Two hashes that identify a row by its doc_id and its text; nulls count as values."""
-    known = F.concat(F.isnull(doc_id).cast("int"), F.isnull(text).cast("int"))
-    return [F.xxhash64(doc_id, text, known).alias(KEY[0]), F.xxhash64(F.lit(7), text, known, doc_id).alias(KEY[1])]
+def row_key(doc_id: Column, text: Column, *more: Column) -> list[Column]:
+    """Two hashes that identify a row by its doc_id, its text and further columns; nulls count as values."""
+    known = F.concat(*(F.isnull(c).cast("int") for c in (doc_id, text, *more)))
+    return [F.xxhash64(doc_id, text, *more, known).alias(KEY[0]), F.xxhash64(F.lit(7), text, *more, known, doc_id).alias(KEY[1])]
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -100,28 +101,61 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns {missing} are not among {df.columns}")
 
 
-def width(df: DataFrame) -> int:
-    """Bytes of a row of fixed-width columns, as an upper estimate; 64 for each other column."""
-    fixed = {"boolean": 1, "int": 4, "float": 4, "bigint": 8, "double": 8}
-    return 16 + sum(8 + fixed.get(kind, 64) for _, kind in df.dtypes)
+def row_bytes(schema: T.StructType) -> Column:
+    """The bytes that a row holds, by its real strings and arrays, with room for its headers."""
 
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(value) + 16
+        elif isinstance(kind, T.ArrayType):
+            element = fixed(kind.elementType)
+            size = F.size(value) * element + 32 if element else F.aggregate(value, F.lit(32).cast("long"), lambda a, x: a + of(x, kind.elementType).cast("long"))
+        elif isinstance(kind, T.StructType):
+            size = sum((of(value.getField(f.name), f.dataType) for f in kind), F.lit(16))
+        else:
+            size = F.lit(fixed(kind) or 64)
+        return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
 
-def small(df: DataFrame, bound: int = BROADCAST_BYTES, row_bytes: int | None = None) -> bool:
-    """Whether a frame (already cut, so that counting it is cheap) has a proven size within the bound."""
-    return df.count() * (row_bytes or width(df)) <= bound
+    def fixed(kind: T.DataType) -> int:
+        """Bytes of a value whose size does not depend on it, else 0."""
+        if isinstance(kind, T.StructType):
+            each = [fixed(f.dataType) for f in kind]
+            return 16 + sum(each) if all(each) else 0
+        return 0 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
 
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema), F.lit(48).cast("long"))
 
-def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", bound: int = BROADCAST_BYTES, row_bytes: int | None = None) -> DataFrame:
+
+def small(df: DataFrame, bound: int | None = None) -> bool:
+    """Whether the rows of a frame (already cut, so that reading it is cheap) are within the bound: their bytes are summed."""
+    total = df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0
+    return total <= (BROADCAST_BYTES if bound is None else bound)
+
+
+def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", bound: int | None = None) -> DataFrame:
     """Join a table with one row for each key to a large side.
 
-    Within the bound the table is broadcast and the large side stays where it is.  Beyond it both sides are
-    shuffled by the key, and the adaptive skew join splits the keys that hold many rows of the large side.
+    Within the bound (`BROADCAST_BYTES` unless given) the table is broadcast and the large side stays where it is.
+    Beyond it both sides are shuffled by the key, and the adaptive skew join splits the keys that hold many rows of
+    the large side.
     """
-    if small(table, bound, row_bytes):
+    if small(table, bound):
         table = F.broadcast(table)
     return big.join(table, on, how)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files and tables that a frame reads, as far as Spark knows it, for choosing how finely to split work."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets(spark: SparkSession, per_partition: int = 4, most_split: int = 4096) -> int:
     """How many buckets packed exchanges use: several for each shuffle partition, one where these are many already."""
     parts = partitions(spark)

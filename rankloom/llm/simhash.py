@@ -223,38 +223,38 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return copies.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_links), "u long, v long")
 
 
-def fingerprint_components(rows: DataFrame) -> DataFrame:
+def fingerprint_components(rows: DataFrame, bound: int | None = None) -> DataFrame:
     """(fp, root, component_id) for each distinct `fp` of rows with doc_id and fp; root is the fingerprint that names the component."""
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), 8)
-    nodes = components(cut(fingerprint_links(distinct).distinct(), 8))
+    nodes = components(cut(fingerprint_links(distinct).distinct(), 8), bound)
     linked = cut(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", "root"), 8)
     groups = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.where("root is not null").join(groups, "root").select("fp", "root", "component_id")
     return joined.unionAll(linked.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, *carry: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, *carry: str, bound: int | None = None) -> DataFrame:
     """doc_id, carried columns, fp, root and component_id (smallest doc_id that links reach) for every row."""
     rows = cut(fingerprints(docs, *carry))
-    return lookup(rows, cut(fingerprint_components(rows), 8), ["fp"], "left")
+    return lookup(rows, cut(fingerprint_components(rows, bound), 8), ["fp"], "left", bound)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, bound: int | None = None) -> DataFrame:
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return near_duplicates(docs).select("doc_id", hexed, "component_id")
+    return near_duplicates(docs, bound=bound).select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, bound: int | None = None) -> DataFrame:
     """One document of each group of near copies: the row with the smallest doc_id, of equal rows one."""
     key = list(KEY)
-    found = near_duplicates(packed(docs).drop("__row"), *key)
+    found = near_duplicates(packed(docs).drop("__row"), *key, bound=bound)
     first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), *key)).alias("first"))
     chosen = cut(first.select(*(F.col(f"first.{k}").alias(k) for k in key)), 8)
-    kept = lookup(packed(docs), chosen, key, "left_semi")
+    kept = lookup(packed(docs), chosen, key, "left_semi", bound)
     # Of rows that are equal in doc_id and text, only one stays.
     many = cut(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(chosen, key, "left_semi").select(*key), 8)
     if many.isEmpty():
         return unpacked(kept, docs.columns)
-    once = lookup(kept, many, key, "left_anti")
-    twice = lookup(kept, many, key, "left_semi").dropDuplicates(key)
+    once = lookup(kept, many, key, "left_anti", bound)
+    twice = lookup(kept, many, key, "left_semi", bound).dropDuplicates(key)
     return unpacked(once.unionByName(twice), docs.columns)
