@@ -29,12 +29,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import KEY, buckets, cut, lean, lookup, need, packed, row_key, unpacked
+from .common import KEY, buckets, cut, input_bytes, lean, lookup, need, packed, row_key, unpacked
 
 WINDOW = 35
 #: Words of a block: bounds the memory of a map task; a longer document is a block of its own.
 BLOCK_WORDS = 1_000_000
+#: Bytes of packed hashes that a task should hold, how many times the input they are at most, and the least that a row should have.
+RANGE_BYTES, ENTRY_RATIO, ENTRIES_A_ROW = 64 << 20, 3, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = "array<struct<first:int,last:int>>"
@@ -119,7 +122,7 @@ def _emit(length: int, n_buckets: int, block_words: int):
         bounds = np.searchsorted(every, np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64))
         gaps, size_gap = _pack(np.diff(known, prepend=0))
         directory = np.array(keys, np.int64).reshape(-1, 2).tobytes()
-        yield _rows([(block % n_buckets, block, DIRECTORY, directory, ends.astype("<i8").tobytes(), gaps, 0, size_gap)])
+        yield _rows([(xxhash.xxh3_64_intdigest(block.to_bytes(8, "little")) % n_buckets, block, DIRECTORY, directory, ends.astype("<i8").tobytes(), gaps, 0, size_gap)])
         out, weight = [], 0
         for bucket, (i, j) in enumerate(zip(np.r_[0, bounds], np.r_[bounds, len(every)])):
             if i == j:
@@ -236,7 +239,9 @@ def _intervals(length: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, spans): for each row with repeated windows, the maximal intervals of words to remove, both ends included."""
     need(docs, "doc_id", "text")
-    n = buckets(docs.sparkSession)
+    # A range of hashes is held by one task at a time; larger blocks keep what they send to a range worth a row.
+    n = max(buckets(docs.sparkSession), input_bytes(docs.select("text")) * ENTRY_RATIO // RANGE_BYTES)
+    block_words = max(block_words, ENTRIES_A_ROW * n) if block_words >= BLOCK_WORDS else block_words
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
     entries = keyed.mapInArrow(lean(_emit(window, n, block_words)), PACKED_DDL)
@@ -245,10 +250,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLO
     return spans.dropDuplicates(list(KEY))
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def with_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, bound: int | None = None) -> DataFrame:
     """doc_id, text and `spans`, the word intervals to remove (null: none), of each row, with the row as a struct `__row`."""
     found = cut(repeated_spans(docs, window, block_words), 8)
-    return lookup(packed(docs), found, list(KEY), row_bytes=256)
+    return lookup(packed(docs), found, list(KEY), bound=bound)
 
 
 def split_words(text: bytes, spans: list[dict]) -> list[bytes]:
@@ -289,20 +294,22 @@ def digest(docs_with_spans: DataFrame) -> DataFrame:
     return out.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, bound: int | None = None) -> DataFrame:
     """The documents with their repeated passages cut from `text`; columns and rows stay, clean texts byte for byte.
 
-    Where there is a column `n_chars`, it follows the changed texts.
+    Where there is a column `n_chars`, it follows the changed texts.  Only texts that change go to Python.
     """
 
-    @F.pandas_udf("string")
-    def cleaned(text, spans):
-        return text.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else cut_text(t, list(s)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [cut_text(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["__row", "new"])
 
-    marked = with_spans(docs, window)
-    marked = marked.withColumn("new", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans")))
+    marked = with_spans(docs, window, bound=bound)
+    untouched = unpacked(marked.where("spans is null"), docs.columns)
+    rows = marked.where("spans is not null").select("__row", "text", "spans")
+    schema = T.StructType([rows.schema["__row"], T.StructField("new", T.StringType())])
     changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        old = F.col("__row").getField("n_chars")
-        changed["n_chars"] = F.when(F.col("spans").isNull(), old).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
-    return unpacked(marked, docs.columns, **changed)
+        changed["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return untouched.unionAll(unpacked(rows.mapInArrow(lean(run), schema), docs.columns, **changed))
