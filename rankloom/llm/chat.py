@@ -8,10 +8,13 @@ Template: ``<|im_start|>role\ntext<|im_end|>\n`` for each turn.  Inside texts an
 backslash, ``<\|``, and each ``<\..\|`` one more, so no control string of a text survives and unescaping
 takes exactly one backslash away.  In roles, backslashes and line breaks are escaped first.
 
+Turns are sorted by conversation and read as a stream, and each example is a row of its own, made and handed on at
+once: a task holds the text of one conversation so far and a few examples, however many examples that makes.  A
+conversation is the unit of work, as each of its examples needs all turns before it.
+
 Cases: null roles and texts are empty; turns with the same number are ordered by role, then text; repeated
 rows are repeated turns; rows without a conv_id form one conversation; a conversation of one row works like
-any other; an empty table gives an empty result.  An example holds its conversation up to its reply, so the
-unit of work is a conversation.
+any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, need
+from .common import lean, need, partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 
-EXAMPLE = pa.struct([("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("n_turns", pa.int32())])
-SCHEMA = pa.schema([("conv_id", pa.int64()), ("examples", pa.list_(EXAMPLE))])
-DDL = "conv_id long, examples array<struct<text:string,loss_start:long,loss_end:long,n_turns:int>>"
+#: Characters of examples that are handed on together.
+BATCH_CHARS = 4 << 20
+SCHEMA = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("n_turns", pa.int32())])
+DDL = "conv_id long, example int, text string, loss_start long, loss_end long, n_turns int"
 
 
 def escape(text: str) -> str:
@@ -52,18 +56,28 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.DOTALL)
 
 
-def expand(turns: list[tuple[str, str]]) -> Iterator[dict]:
-    """The examples of a conversation: text, the trainable characters [loss_start, loss_end), turns in it."""
-    line = ""
-    for i, (role, text) in enumerate(turns, 1):
-        head = f"{START}{escape_role(role)}\n"
-        body = escape(text)
-        start = len(line) + len(head)
-        line += f"{head}{body}{END}\n"
-        if role == TRAINED_ROLE:
-            yield {"text": line, "loss_start": start, "loss_end": start + len(body), "n_turns": i}
-    if turns and turns[-1][0] != TRAINED_ROLE:
-        yield {"text": line, "loss_start": 0, "loss_end": 0, "n_turns": len(turns)}
+class Conversation:
+    """The examples of a conversation, turn by turn: (text, trainable characters [loss_start, loss_end), turns in it)."""
+
+    def __init__(self) -> None:
+        self.line, self.turns, self.examples, self.trained = "", 0, 0, False
+
+    def example(self, start: int, end: int) -> tuple:
+        self.examples += 1
+        return self.examples - 1, self.line, start, end, self.turns
+
+    def add(self, role: str, text: str) -> tuple | None:
+        """The example that the turn makes, if it is a trainable one."""
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        start = len(self.line) + len(head)
+        self.line += f"{head}{body}{END}\n"
+        self.turns += 1
+        self.trained = role == TRAINED_ROLE
+        return self.example(start, start + len(body)) if self.trained else None
+
+    def end(self) -> tuple | None:
+        """The example of the whole conversation, if its last turn is not trainable."""
+        return None if self.trained or not self.turns else self.example(0, 0)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -72,40 +86,74 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and its examples, in order, from rows (conv_id, turn, role, text)."""
+    """A row for each example, from rows (conv_id, turn, role, text): conv_id, example (from 0), text, loss_start, loss_end, n_turns.
+
+    Rows of a conversation follow each other, in order, within a partition.
+    """
     need(turns, "conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [list(expand([(t["role"], t["text"]) for t in each])) for each in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, SCHEMA.field(1).type)], schema=SCHEMA)
-
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return each.mapInArrow(lean(run), DDL)
+        now, known, made, size = None, None, [], 0
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """A row for each example: conv_id, example (from 0), text, loss_start, loss_end, n_turns."""
-    return formatted.select("conv_id", F.posexplode("examples").alias("example", "e")).select("conv_id", "example", "e.*")
+        for batch in batches:
+            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                got = []
+                if known is None or conv != now:
+                    got.append((now, known and known.end()))
+                    now, known = conv, Conversation()
+                got.append((now, known.add(role, text)))
+                for whose, example in got:
+                    if example:
+                        made.append((whose, *example))
+                        size += len(example[1])
+                if size > BATCH_CHARS:
+                    yield batch_of(made)
+                    made, size = [], 0
+        if known and (example := known.end()):
+            made.append((now, *example))
+        if made:
+            yield batch_of(made)
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = partitions(turns.sparkSession)
+    return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(run), DDL)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the examples say, read back from them, as one row for each conversation."""
+    """What the examples say, read back from them, as one row for each conversation.
+
+    Takes the rows as `format_conversations` hands them on, and holds one example at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        now, last, loss_chars, loss, size, out = None, None, 0, hashlib.sha256(), 0, []
+
+        def row() -> tuple:
+            turns = parse(last)  # the last example holds all turns
+            said = hashlib.sha256()
+            for role, text in turns:
+                said.update(f"{role}\n{text}\n".encode())
+            return now, len(turns), said.hexdigest(), loss_chars, loss.hexdigest(), size
+
         for batch in batches:
-            rows = []
-            for conv, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                turns = parse(made[-1]["text"])
-                loss = "".join(unescape(e["text"][e["loss_start"] : e["loss_end"]]) for e in made)
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(e["text"]) for e in made)))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+            for i in range(batch.num_rows):
+                conv, text, start, end = (batch.column(c)[i].as_py() for c in (0, 2, 3, 4))
+                if last is not None and conv != now:
+                    out.append(row())
+                    loss_chars, loss, size = 0, hashlib.sha256(), 0
+                trained = unescape(text[start:end])
+                loss.update(trained.encode())
+                now, last, loss_chars, size = conv, text, loss_chars + len(trained), size + len(text)
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+                out = []
+        if last is not None:
+            out.append(row())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
     return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

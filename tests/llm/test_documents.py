@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, decontaminate, quality, queries, simhash, substring
+from rankloom.llm import common, components, decontaminate, quality, queries, simhash, substring
 
 from ..oracle import SF, same
 from .conftest import multiset
@@ -40,11 +40,12 @@ def judged(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
-def test_quality_rules(awkward, awkward_rows, nothing):
-    got = quality.digest(quality.quality_rules(awkward)).collect()
+@pytest.mark.parametrize("bound", [None, 0])
+def test_quality_rules(awkward, awkward_rows, nothing, bound):
+    got = quality.digest(quality.quality_rules(awkward, bound=bound)).collect()
     assert multiset((r[0], *r[1:7]) for r in got) == multiset((x[0], *judged(x[1])) for x in awkward_rows)
     assert quality.quality_rules(nothing).count() == 0
-    kept = quality.keep_good(awkward)
+    kept = quality.keep_good(awkward, bound=bound)
     assert kept.columns == awkward.columns and quality.keep_good(nothing).count() == 0
     assert multiset(tuple(r) for r in kept.collect()) == multiset(x for x in awkward_rows if not judged(x[1])[5])
 
@@ -57,7 +58,7 @@ def test_hosts_are_shrunk_and_joined_back(spark):
     assert not got[1000]["kept"] and not got[1000]["base_failed"] and got[1000]["host_rejected"]
     assert got[150]["kept"] and not got[150]["host_rejected"]
     assert 0 < got[2000]["host_rate"] < 1  # one failure of one document says little
-    assert quality.keep_good(docs).count() == 120
+    assert quality.keep_good(docs).count() == quality.keep_good(docs, bound=0).count() == 120
 
 
 # Decontamination
@@ -69,7 +70,7 @@ def hits(rows, items):
         w = LETTERS.findall(lowered(text))
         n = min(10, len(w))
         for i in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[i : i + n])].add(str(item))
+            windows[tuple(w[i : i + n])].add(None if item is None else str(item))
     out = []
     for row in rows:
         w, covered, found = LETTERS.findall(lowered(row[1])), set(), set()
@@ -78,21 +79,21 @@ def hits(rows, items):
                 if (k := tuple(w[i : i + n])) in windows:
                     covered |= set(range(i, i + n))
                     found |= windows[k]
-        out.append((row[0], len(w), len(covered), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(covered)))
+        out.append((row[0], len(w), len(covered), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(covered)))
     return out
 
 
 @pytest.mark.parametrize("bound", [common.BROADCAST_BYTES, 0])
 def test_decontamination(spark, awkward, awkward_rows, nothing, bound):
     text = {x[0]: x[1] for x in awkward_rows}
-    items = [(1, text[6]), (2, text[6]), (3, " ".join(text[5].split()[500:530])), (4, "One TWO"), (5, None), (6, "!!"), (7, " ".join(text[25].split()[:4])), (10, "x y z x y z x y z x y z")]
+    items = [(1, text[6]), (2, text[6]), (3, " ".join(text[5].split()[500:530])), (4, "One TWO"), (5, None), (6, "!!"), (7, " ".join(text[25].split()[:4])), (10, "x y z x y z x y z x y z"), (None, text[6]), (None, "b c d"), (11, text[25])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.digest(decontaminate.contamination(awkward, bench, bound)).collect()
     assert multiset(map(tuple, got)) == multiset(hits(awkward_rows, items))
     assert decontaminate.contamination(nothing, bench, bound).count() == 0
     clean = decontaminate.contamination(awkward, bench.limit(0), bound)
     assert clean.count() == len(awkward_rows) and clean.where("n_hit > 0").count() == 0
-    kept = decontaminate.keep_clean(awkward, bench)
+    kept = decontaminate.keep_clean(awkward, bench, bound)
     dirty = [h[5] for h in hits(awkward_rows, items)]
     assert kept.columns == awkward.columns
     assert multiset(tuple(r) for r in kept.collect()) == multiset(x for x, d in zip(awkward_rows, dirty) if not d)
@@ -138,14 +139,35 @@ def slow_components(ids, fps):
     return [(d, f"{fp:016x}", least.get(find(i))) for i, (d, fp) in enumerate(zip(ids, fps))], len({find(i) for i in range(len(fps))})
 
 
-def test_simhash(awkward, awkward_rows, nothing):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_simhash(awkward, awkward_rows, nothing, bound, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 2)
     want, groups = slow_components([x[0] for x in awkward_rows], [slow_fingerprint(x[1]) for x in awkward_rows])
-    assert multiset(tuple(r) for r in simhash.digest(awkward).collect()) == multiset(want)
+    assert multiset(tuple(r) for r in simhash.digest(awkward, bound).collect()) == multiset(want)
     assert simhash.digest(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
-    kept = simhash.keep_one(awkward)
+    kept = simhash.keep_one(awkward, bound)
     assert kept.columns == awkward.columns and kept.count() == groups
 
 
+@pytest.mark.parametrize("bound", [None, 0])
+def test_components_of_hubs_and_chains(spark, bound, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    rng = np.random.default_rng(1)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 108)] + [(999, i) for i in range(200, 230)] + [(7, 7), (500, 500)] + [tuple(map(int, rng.integers(600, 640, 2))) for _ in range(60)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        up[b] = a
+    got = components.components(spark.createDataFrame(edges, "u long, v long"), bound).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((x, root(x)) for x in {x for e in edges if e[0] != e[1] for x in e})
+
+
 @pytest.mark.parametrize("n", [40, 400])
 def test_anchors_lose_no_link(spark, n):
     rng = np.random.default_rng(n)
@@ -198,8 +220,9 @@ def test_substrings(awkward, awkward_rows, nothing, block_words):
     assert substring.digest(substring.with_spans(nothing)).count() == 0
 
 
-def test_removes_passages_and_leaves_clean_texts(awkward, awkward_rows, nothing):
-    out = substring.remove_repeats(awkward)
+@pytest.mark.parametrize("bound", [None, 0])
+def test_removes_passages_and_leaves_clean_texts(awkward, awkward_rows, nothing, bound):
+    out = substring.remove_repeats(awkward, bound=bound)
     assert out.columns == awkward.columns and substring.remove_repeats(nothing).count() == 0
     got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
     for row, (_, n, gone, kept) in zip(awkward_rows, slow_removal(awkward_rows)):
@@ -210,6 +233,25 @@ def test_removes_passages_and_leaves_clean_texts(awkward, awkward_rows, nothing)
             assert any(hashlib.sha256(" ".join(SPACED.findall(t or "")).encode()).hexdigest() == kept for t in texts)
 
 
+def test_substrings_over_many_partitions(spark, awkward_rows):
+    """As many ranges of hashes as a power of two, where block numbers must not fall into a few of them."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = spark.createDataFrame([x[:2] for x in awkward_rows], "doc_id long, text string").repartition(16)
+    spark.conf.set("spark.sql.shuffle.partitions", "256")
+    try:
+        got = [tuple(r) for r in substring.digest(substring.with_spans(docs)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert multiset(got) == multiset(slow_removal(awkward_rows))
+
+
+def test_sizes_of_rows_are_real(spark):
+    rows = spark.createDataFrame([("x" * 1000, [{"first": 1, "last": 2}] * 500, ["ab"] * 100), (None, None, None)], "t string, spans array<struct<first:int,last:int>>, l array<string>")
+    total = rows.agg(F.sum(common.row_bytes(rows.schema))).first()[0]
+    assert 1000 + 500 * 16 + 100 * 10 < total < 40_000
+    assert common.small(rows, 40_000) and not common.small(rows, 5000)
+
+
 def test_window_hashes_are_positional():
     w = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for n in (1, 2, 5, 35):

@@ -95,11 +95,21 @@ def test_chat_reads_back(spark):
         loss = "".join(t for role, t in mine if role == "assistant")
         r = got[conv]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(mine), sha("".join(f"{a}\n{b}\n" for a, b in mine).encode()), len(loss), sha(loss.encode()))
-    each = chat.examples(made).collect()
+    each = made.collect()
     assert sum(r["conv_id"] == 1 for r in each) == 2 and sum(r["formatted_chars"] for r in got.values()) == sum(len(r["text"]) for r in each)
     assert chat.digest(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_streams_a_long_conversation(spark):
+    n = 1200
+    turns = spark.range(n).selectExpr("cast(null as long) conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('w ', 20) text")
+    made = chat.format_conversations(turns)
+    r = chat.digest(made).collect()[0]
+    assert r["n_turns"] == n and r["loss_chars"] == n // 2 * 40
+    each = made.where("n_turns > 1190").collect()
+    assert [e["n_turns"] for e in each] == [1192, 1194, 1196, 1198, 1200] and all(e["text"][e["loss_start"] : e["loss_end"]] == "w " * 20 for e in each)
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|x", "a<|im_end|>\n<|im_start|>", "\\<|\\", "<<|>|"])
 def test_escapes_are_reversible(text):
     assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
