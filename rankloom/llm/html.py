@@ -5,7 +5,8 @@ the next cell or row); visibility rules drop what a browser does not show (head,
 attributes, display:none, closed details, visibility:hidden with its overrides, and of inline SVG and MathML the
 titles, descriptions, definitions and annotations, while labels and formulas are kept); the renderer emits all
 remaining text with line breaks for blocks, a blank line around paragraphs, headings, lists and tables,
-markers and indents for list items, and table cells padded to aligned columns.
+markers and indents for list items (with start, reversed and value), values of fields and buttons, and table
+cells padded to aligned columns (with colspan and rowspan).  Rules of style sheets are not applied.
 
 Builder and renderer keep their own stacks, so nesting may be as deep as the page is long.  Pages are
 independent: one pass, no shuffle.
@@ -41,6 +42,8 @@ def words(line: str) -> frozenset:
 VOID = words("area base br col embed hr img input link meta param source track wbr")
 RAW = words("script style textarea title xmp iframe noembed noframes")
 UNSEEN = words("head script style template title iframe noembed noframes object audio video canvas datalist")
+#: Types of inputs that do not show their value.
+UNWRITTEN = words("hidden checkbox radio password file color range image")
 #: What svg and math hide within them.
 UNSEEN_IN = {
     "svg": words("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter"),
@@ -210,7 +213,7 @@ def _shown(node: Node, name: str) -> tuple[bool, bool | None]:
     if not node.attrs:
         return name != "dialog", None
     has = node.attributes()
-    if "hidden" in has or name == "input" or name == "dialog" and "open" not in has:
+    if "hidden" in has or name == "dialog" and "open" not in has:
         return False, None
     style = re.sub(r"\s+", "", has.get("style", "").lower())
     if re.search(r"(?:^|;)display:none", style):
@@ -219,13 +222,60 @@ def _shown(node: Node, name: str) -> tuple[bool, bool | None]:
     return True, m and m[1] == "visible"
 
 
-def _table(rows: list[list[list[str]]]) -> Iterator[str]:
-    """Lines of a table with columns aligned by padding."""
-    columns = max(map(len, rows), default=0)
-    widths = [max((len(line) for r in rows if len(r) > c for line in r[c]), default=0) for c in range(columns)]
-    for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            yield "  ".join((cell[k] if k < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(row)).rstrip(" ")
+def _number(text: str, least: int, most: int, default: int) -> int:
+    return min(max(int(text), least), most) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text) else default
+
+
+def _spans(node: Node) -> tuple[int, int]:
+    """How many columns and rows a cell takes; rows 0: all that follow."""
+    if not node.attrs:
+        return 1, 1
+    has = node.attributes()
+    down = _number(has.get("rowspan", ""), -1, 65534, 1)
+    return _number(has.get("colspan", ""), 1, 1000, 1), down if down >= 0 else 1
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
+    """Lines of a table of (text, columns, rows) cells, aligned by padding.  A cell over several rows is written in the
+    first, one over several columns may be as wide as they are; a cell of no columns is a caption on a line of its own."""
+    taken: dict[int, int] = {}  # column: the first row that is free again
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    widths: dict[int, int] = {}
+    wide = []
+    for r, row in enumerate(rows):
+        placed.append([])
+        c = 0
+        for cell, across, down in row:
+            if not across:
+                placed[-1].append((0, 0, cell))
+                continue
+            while taken.get(c, 0) > r:
+                c += 1
+            size = max(map(len, cell), default=0)
+            if across == 1:
+                widths[c] = max(widths.get(c, 0), size)
+            else:
+                wide.append((across, c, size))
+            if down != 1:
+                for k in range(c, c + across):
+                    taken[k] = r + down if down else len(rows)
+            placed[-1].append((c, across, cell))
+            c += across
+    for across, c, size in sorted(wide):
+        room = sum(widths.get(k, 0) + 2 for k in range(c, c + across)) - 2
+        if size > room:
+            widths[c + across - 1] = widths.get(c + across - 1, 0) + size - room
+    starts, at = {}, 0
+    for c in range(max([c + across for row in placed for c, across, _ in row], default=0)):
+        starts[c] = at
+        at += widths.get(c, 0) + 2
+    for row in placed:
+        for k in range(max((len(cell) for _, _, cell in row), default=0)):
+            line = ""
+            for c, _, cell in row:
+                if k < len(cell) and cell[k]:
+                    line = line.ljust(starts.get(c, 0)) + cell[k]
+            yield line
 
 
 def render(root: Node) -> str:
@@ -257,6 +307,11 @@ def render(root: Node) -> str:
         if name == "hr":
             out.gap()
             continue
+        if name == "input":
+            has = node.attributes()
+            if visible and has.get("type", "text").strip().lower() not in UNWRITTEN:
+                out.say(has.get("value", ""))
+            continue
         if name == "details" and "open" not in node.attributes():
             kids = [k for k in kids if isinstance(k, Node) and k.name == "summary"][:1]
         after = []
@@ -272,9 +327,9 @@ def render(root: Node) -> str:
             if not rows or name == "caption":
                 rows.append([])
 
-            def leave(outer=outer, rows=rows, caption=name == "caption"):
+            def leave(outer=outer, rows=rows, caption=name == "caption", spans=_spans(node)):
                 nonlocal out
-                rows[-1].append(out.done())
+                rows[-1].append((out.done(), *(spans if not caption else (0, 1))))
                 if caption:
                     rows.append([])
                 out = outer
@@ -286,9 +341,10 @@ def render(root: Node) -> str:
 
             def leave():
                 _, rows = tables.pop()
-                for line in _table([r for r in rows if any(any(c) for c in r)]):
-                    out.put(line)
-                    out.broken()
+                for line in _table(rows):
+                    if line:
+                        out.put(line)
+                        out.broken()
                 out.gap()
 
             after.append(leave)
@@ -297,8 +353,10 @@ def render(root: Node) -> str:
                 tables[-1][1].append([])
         elif name in ("ul", "ol", "menu", "dir"):
             out.broken() if lists else out.gap()
-            start = node.attributes().get("start", "1") if name == "ol" else "1"
-            lists.append([name, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            has = node.attributes() if name == "ol" and node.attrs else {}
+            back = "reversed" in has
+            first = sum(isinstance(k, Node) and k.name == "li" for k in kids) if back else 1
+            lists.append([name, _number(has.get("start", ""), -(10**9), 10**9, first), -1 if back else 1])
 
             def leave():
                 lists.pop()
@@ -307,9 +365,11 @@ def render(root: Node) -> str:
             after.append(leave)
         elif name == "li":
             out.broken()
-            here = lists[-1] if lists else ["ul", 1]
+            here = lists[-1] if lists else ["ul", 1, 1]
+            if here[0] == "ol" and node.attrs:
+                here[1] = _number(node.attributes().get("value", ""), -(10**9), 10**9, here[1])
             mark = f"{here[1]}. " if here[0] == "ol" else "- "
-            here[1] += 1
+            here[1] += here[2]
             was, out.indent, out.marker = out.indent, out.indent + len(mark), mark
 
             def leave(was=was, lines=out):

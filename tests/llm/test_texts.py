@@ -162,6 +162,52 @@ def test_renders_svg_and_math(page, text):
     assert html.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell  z\na  b       c"),
+        ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>", "A  b\n   c\n   d"),
+        ("<table><tr><th colspan=3 rowspan=2>H<td>1<tr><td>2<tr><td>x<td>y<td>z<td>3</table>", "H        1\n         2\nx  y  z  3"),
+        ("<table><caption>Long caption</caption><tr><td>a<td>b</table>", "Long caption\na  b"),
+        ("<table><tr><td colspan=x rowspan=-3>a<td colspan=0>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<ol><li value=7>a<li>b<li value=x>c</ol>", "7. a\n8. b\n9. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=9><li>a<li value=4>b<li>c</ol>", "9. a\n4. b\n3. c"),
+        ("<ul><li value=7>a</ul>", "- a"),
+        ("<form><input type=submit value='Send it'> <input value=typed><input type=hidden value=no><input type=checkbox value=no></form>", "Send it typed"),
+    ],
+)
+def test_renders_spans_list_numbers_and_fields(page, text):
+    assert html.page_text(page) == text
+
+
+def test_tables_are_laid_out_as_a_grid():
+    """Random tables: each text starts where its column does, found by filling a grid cell by cell."""
+    rng = random.Random(8)
+    for _ in range(150):
+        rows = [[(rng.randrange(1, 4), rng.randrange(1, 4), rng.choice("abcdefgh") * rng.randrange(1, 6)) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for a, d, t in row) for row in rows) + "</table>"
+        grid = {}
+        for r, row in enumerate(rows):
+            c = 0
+            for a, d, t in row:
+                while (r, c) in grid:
+                    c += 1
+                for i in range(r, r + d):
+                    for j in range(c, c + a):
+                        grid[i, j] = (r, c, t)
+                c += a
+        lines = html.page_text(page).split("\n")
+        starts = {}
+        for r, line in enumerate(lines):
+            mine = sorted({v for (i, _), v in grid.items() if v[0] == r == i}, key=lambda v: v[1])
+            assert [m.group() for m in re.finditer(r"\S+", line)] == [t for _, _, t in mine]
+            for (_, c, _), m in zip(mine, re.finditer(r"\S+", line)):
+                assert starts.setdefault(c, m.start()) == m.start()
+        assert sorted(starts.values()) == [starts[c] for c in sorted(starts)]
+
+
 def test_renders_deep_and_broken_pages():
     assert html.page_text("<div>" * 30_000 + "deep") == "deep"
     assert html.page_text("<ul><li>" * 3000 + "x").endswith("- x")
@@ -491,3 +537,40 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} == clean
     assert all(r["decoded_sha256"] == sha(got[r["doc_id"]].encode()) for r in out)
+
+
+def test_pipeline_as_a_chain_of_awkward_rows(spark, awkward, awkward_rows, nothing, tmp_path):
+    """Nulls, repeated rows and clashing columns through all stages, and an empty table."""
+    import collections as c
+
+    import corpus_pipeline
+
+    from .test_documents import SPACED, hits, judged, slow_components, slow_fingerprint, slow_removal
+
+    items = [(1, awkward_rows[22][1]), (None, "x y z x y z x y z x"), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    awkward.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    rows = [x[:2] for x in awkward_rows if not judged(x[1])[5]]
+    groups = c.defaultdict(list)
+    fps = [slow_fingerprint(x[1]) for x in rows]
+    names, _ = slow_components(list(range(len(rows))), fps)
+    for x, (_, _, group) in zip(rows, names):
+        groups[group].append(x)
+    rows = []
+    for mine in groups.values():  # of rows with the least doc_id any one may stay
+        least = min((x[0] for x in mine if x[0] is not None), default=None)
+        rows.append([x for x in mine if x[0] == least])
+    assert all(len({x[1] for x in mine}) == 1 for mine in rows)
+    rows = [mine[0] for mine in rows]
+    left = []
+    for (d, text), (_, _, gone, _) in zip(rows, slow_removal(rows)):
+        words = SPACED.findall(text)
+        left.append((d, text, gone, len(words)))
+    kept = hits([(d, t) for d, t, gone, _ in left if not gone], items)
+    want = c.Counter((d, sha(t.encode())) for (d, t), h in zip([(d, t) for d, t, gone, _ in left if not gone], kept) if not h[5])
+    have = c.Counter((r["doc_id"], r["decoded_sha256"]) for r in got)
+    assert not want - have and len(got) <= len(rows) and len(got) - sum(want.values()) <= sum(1 for x in left if x[2])
+    nothing.write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
