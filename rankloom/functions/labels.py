@@ -26,11 +26,6 @@ def map_column(mapping: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
 
 
-def strip_tag(name: Column) -> Column:
-    """The part of a tag name after its last hyphen."""
-    return F.element_at(F.split(name, "-"), -1)
-
-
 def strip_tags(label_map: dict[str, int]) -> tuple[dict[str, int], dict[int, int]]:
     """The map of names without prefixes, numbered as first seen, and from old to new ids."""
     bare = {name: name.rpartition("-")[2] for name in label_map}

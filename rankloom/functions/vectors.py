@@ -16,22 +16,6 @@ def as_double(vec: Column | str) -> Column:
     return _col(vec).cast(DOUBLES)
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column | str) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def squared_distance(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
-
-
 def scaled(vec: Column | str, factor: Column) -> Column:
     return F.transform(as_double(vec), lambda x: x * factor)
 

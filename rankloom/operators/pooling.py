@@ -21,7 +21,7 @@ def parse_layers(layer_ids: str, n_layers: int) -> list[int]:
     wanted = [int(x) for x in layer_ids.split(",")]
     for x in wanted:
         if not -n_layers <= x < n_layers:
-            raise ValueError(f"Layer ids must be within the range of (0 to {n_layers - 1}).")
+            raise ValueError(f"no layer {x}: the encoder has {n_layers}")
     return sorted({x % n_layers for x in wanted})
 
 

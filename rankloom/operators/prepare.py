@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels as L
 from ..functions import text as X
+from ..sources.store import kept
 
 logger = logging.getLogger("rankloom")
 
@@ -95,27 +96,40 @@ def merge_pair(df: DataFrame, text: str, pair: str) -> tuple[DataFrame, str]:
 
 def sample_order(row_id: Column, seed: int = 42) -> Column:
     """A pseudo-random total order of rows that any engine can repeat."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit(""))))
 
 
-def downsample(df: DataFrame, ratio: float, row_id: str = ROW_ID, seed: int = 42) -> DataFrame:
+#: Rows of an edge that are sorted.
+EDGE_ROWS = 20_000
+
+
+def downsample(df: DataFrame, ratio: float, row_id: str = ROW_ID, seed: int = 42, on: Column | None = None) -> DataFrame:
     """Exactly int(rows * ratio) rows, without replacement, the same ones for the same seed.
 
-    A histogram of the orders' first digits (4,096 counts) finds where the last row of the sample lies; only the
-    rows of that one bin are sorted.  The sample itself is a filter, so rows stay where they are.
+    The order is by a hash of row_id, or of `on`, where row_id decides among equals.  A histogram of the orders'
+    first digits (4,096 counts) finds where the last row of the sample lies, further ones look into that bin until
+    few rows are left to sort.  The sample itself is a filter, so rows stay where they are.
     """
     if ratio > 1:
         raise ValueError("the ratio of a sample is at most 1")
-    order, key = sample_order(F.col(row_id), seed), F.col(row_id)
-    bins = sorted(map(tuple, df.groupBy(F.substring(order, 1, 3)).count().collect()))
-    left = int(sum(n for _, n in bins) * ratio)
-    if left <= 0:
-        return df.limit(0)
-    for digits, n in bins:
-        if left <= n:
+    key = F.col(row_id)
+    order = sample_order(key if on is None else on, seed)
+    ordered = df.select(order.alias("o"), key.alias("k"))
+    start, left = "", None
+    while True:
+        here = ordered.where(F.col("o").startswith(start))
+        bins = sorted(map(tuple, here.groupBy(F.substring("o", len(start) + 1, 3)).count().collect()))
+        left = int(sum(n for _, n in bins) * ratio) if left is None else left
+        if left <= 0:
+            return df.limit(0)
+        for digits, n in bins:
+            if left <= n:
+                break
+            left -= n
+        start += digits
+        if n <= EDGE_ROWS or len(start) >= 30:
             break
-        left -= n
-    edge = df.where(F.substring(order, 1, 3) == digits).select(order.alias("o"), key.alias("k")).orderBy("o", "k").limit(left)
+    edge = ordered.where(F.col("o").startswith(start)).orderBy("o", "k").limit(left)
     last = edge.agg(F.max(F.struct("o", "k")).alias("m")).select("m.*").first()
     return df.where((order < last["o"]) | ((order == last["o"]) & (key <= last["k"])))
 
@@ -225,14 +239,19 @@ class Preparer:
         else:
             task = infer_task(df.schema, label, self.text_pair_column)
             check_labels(df, label)
-        df = with_row_id(df, self.row_id)
-        if self.text_pair_column:
-            df, text = merge_pair(df, text, self.text_pair_column)
-        df = df.select(ROW_ID, text, label)
+        wanted = [text, label, *([self.text_pair_column] if self.text_pair_column else [])]
+        if self.text_pair_column and self.text_pair_column not in df.columns:
+            raise ValueError(f"text pair column '{self.text_pair_column}' not found; columns are {df.columns}")
+        own_ids = not self.row_id and ROW_ID not in df.columns
+        df = with_row_id(df.select(*dict.fromkeys([*wanted, *([self.row_id] if self.row_id else [ROW_ID] if ROW_ID in df.columns else [])])), self.row_id)
+        digest = content(df, wanted) if own_ids else None
         size = None
         if self.dataset_downsample:
             size = df.count()
-            df = downsample(df, self.dataset_downsample)
+            df = downsample(df, self.dataset_downsample, on=digest)
+        if self.text_pair_column:
+            df, text = merge_pair(df, text, self.text_pair_column)
+        df = df.select(ROW_ID, text, label)
         if self.cleanup_rows:
             df = clean_rows(df, text, label)
         mapping = self.label_map
@@ -241,27 +260,34 @@ class Preparer:
             df = encode_labels(df, label, mapping)
             if task == Task.TOKEN_CLASSIFICATION and self.remove_bio_encoding:
                 df, mapping = remove_bio(df, label, mapping)
-        logger.info("Task category: %s", task.value)
-        logger.info("Text column: '%s', label column: '%s'", text, label)
+        facts = {"task": task.value, "text": text, "label": label}
         if size is not None and self.dataset_downsample < 1:
-            logger.info("Dataset size: %d texts, reduced to %g%% of original.", int(size * self.dataset_downsample), self.dataset_downsample * 100)
+            facts["rows"] = f"{int(size * self.dataset_downsample)} of {size}"
         if task.is_classification:
-            logger.info("Label map: %s", mapping)
+            facts["labels"] = mapping
+        logger.info("prepared: %s", ", ".join(f"{k}={v}" for k, v in facts.items()))
         return Prepared(df, text, label, task, mapping)
 
 
+def content(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of a row's columns, whatever its place in the table."""
+    return F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns))
+
+
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
-    """A stable `row_id`: the caller's key, or the hash of the row with a number among equal rows.
+    """A `row_id`: the caller's key, or a running number.
 
-    The hash does not depend on partitioning, so it may be recomputed at any time.
+    A key of whole numbers is taken as it is, one of another type by its hash (`TableEncoder` does the same); a key
+    that is null or repeated fails, as vectors could not be told apart.  Running numbers are no function of the
+    rows, so the table is written once and read back with them; no row is shuffled.
     """
     if key:
-        return df.withColumn(ROW_ID, F.col(key).cast("long"))
-    from pyspark.sql import Window
-
+        whole = isinstance(df.schema[key].dataType, T.IntegralType)
+        df = df.withColumn(ROW_ID, F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+        rows, known, distinct = df.agg(F.count("*"), F.count(ROW_ID), F.count_distinct(ROW_ID)).first()
+        if rows != distinct:
+            raise ValueError(f"row_id column '{key}': {rows - known} of {rows} keys are null, {known - distinct} are repeated")
+        return df
     if ROW_ID in df.columns:
         return df
-    digest = F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns))
-    hashed = df.withColumn("__digest", digest)
-    number = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(0)))
-    return hashed.withColumn(ROW_ID, F.xxhash64("__digest", number)).drop("__digest")
+    return kept(df.withColumn(ROW_ID, F.monotonically_increasing_id()))

@@ -57,16 +57,17 @@ class Result:
         self.scores.update(other.scores)
         self.layerwise_scores.update(other.layerwise_scores)
 
-    def _ranked(self) -> list[tuple[str, float]]:
+    @property
+    def ranked(self) -> list[tuple[str, float]]:
         return sorted(self.scores.items(), key=lambda x: (x[1] != x[1], -x[1] if x[1] == x[1] else 0.0))
 
     @property
     def best_model(self) -> str:
-        return self._ranked()[0][0] if self.scores else ""
+        return self.ranked[0][0] if self.scores else ""
 
     def __str__(self) -> str:
         if not self.scores:
             return "No scores available."
-        return "\n".join(f"Rank {i}. {model}: {score:.4f}" for i, (model, score) in enumerate(self._ranked(), 1))
+        return "\n".join(f"Rank {i}. {model}: {score:.4f}" for i, (model, score) in enumerate(self.ranked, 1))
 
     __repr__ = __str__

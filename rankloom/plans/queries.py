@@ -13,7 +13,9 @@ from ..functions.text import whitespace_tokens
 from ..operators import pooling, prepare, ranking
 from ..operators.estimators import HScore, LogME, NearestNeighbors
 from ..operators.stats import Sums, layer_stats
-from ..sources.catalog import model_table
+from ..sources.catalog import model_table, prepare_popular_models
+from ..sources.encoders import HashEncoder, TableEncoder
+from .ranker import ModelRanker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,9 +367,21 @@ def last_layer(spark, sf_dir):
     return ranking.reduce_layers(score_rows(spark, sf_dir), "lastlayer")
 
 
-@query(SCORE_SQL)
+@query(
+    """WITH x AS (SELECT l AS layer, embedding[l * 2 + 1]::DOUBLE AS a, embedding[l * 2 + 2]::DOUBLE AS b, label AS y FROM embeddings, range(4) t(l)),
+    c AS (SELECT layer, a - avg(a) OVER (PARTITION BY layer) AS a, b - avg(b) OVER (PARTITION BY layer) AS b, y FROM x),
+    g AS (SELECT layer, count(*)::DOUBLE AS n, avg(a * a) AS aa, avg(a * b) AS ab, avg(b * b) AS bb, avg((a * a + b * b) ** 2) AS q FROM c GROUP BY layer),
+    s AS (SELECT *, (aa + bb) / 2 AS m, aa * aa + bb * bb + 2 * ab * ab AS sq FROM g),
+    w AS (SELECT *, greatest(0, least(1, ((q - sq) / (2 * n)) / ((sq - 2 * m * (aa + bb) + 2 * m * m) / 2))) AS alpha FROM s),
+    v AS (SELECT *, (1 - alpha) * aa + alpha * m AS saa, (1 - alpha) * ab AS sab, (1 - alpha) * bb + alpha * m AS sbb FROM w),
+    k AS (SELECT layer, y, count(*) AS nc, avg(a) AS ma, avg(b) AS mb FROM c GROUP BY layer, y)
+    SELECT 'm' AS model, CAST(layer AS INTEGER) AS layer, round(sum(nc * (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / (saa * sbb - sab * sab) * (1 - alpha) / (n - 1)), 6) AS score
+    FROM k JOIN v USING (layer) GROUP BY layer"""
+)
 def layerwise_scores(spark, sf_dir):
-    return score_rows(spark, sf_dir)
+    """H-scores of four layers of two dimensions each."""
+    rows = units(spark, sf_dir).withColumn("layer", F.explode(F.array(*map(F.lit, range(4)))))
+    return HScore().score(rows.withColumn("vec", F.slice("vec", F.col("layer") * 2 + 1, 2))).select("model", "layer", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -380,7 +394,11 @@ def append_results(spark, sf_dir):
     return ranking.append_results(first.select("seq", "model", "score"), second.select("seq", "model", "score"))
 
 
-@query()
+def _listed(columns: str, rows: list[tuple]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(map(str, rows))}) t({columns})"
+
+
+@query(_listed("seq, model", list(enumerate(prepare_popular_models()))))
 def popular_models(spark, sf_dir):
     return model_table(spark)
 
@@ -397,5 +415,47 @@ def _planted(metric, spark, sf_dir):
     return ranking.rank(scores.withColumn("seq", F.lit(0)))
 
 
+def _planted_order(metric, spark, sf_dir):
+    return _planted(metric, spark, sf_dir).select("rank", "model")
+
+
 for _metric in (HScore, LogME, NearestNeighbors):
     QUERIES[f"rank_planted_{_metric.name}"] = functools.partial(_planted, _metric)
+    QUERIES[f"planted_order_{_metric.name}"] = functools.partial(_planted_order, _metric)
+    ORACLES[f"planted_order_{_metric.name}"] = _listed("rank, model", [(i, f"planted-{c}") for i, c in enumerate(sorted(PLANTED, reverse=True), 1)])
+
+
+# The ranker, end to end
+
+
+def _ranked(ranker, models, spark, **options) -> DataFrame:
+    """(estimator, layer_aggregator, rank, model, score) of runs with each way to reduce layers."""
+    rows = []
+    for aggregator in ranking.AGGREGATORS:
+        result = ranker.run(models, layer_aggregator=aggregator, **options)
+        rows += [(result.metric, aggregator, i, model, float(score)) for i, (model, score) in enumerate(result.ranked, 1)]
+    return spark.createDataFrame(rows, "estimator string, layer_aggregator string, rank int, model string, score double")
+
+
+@query()
+def ranker_run_texts(spark, sf_dir):
+    """Labelled documents, half of them, by two encoders of three layers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    ranker = ModelRanker(docs, dataset_downsample=0.5, text_column="text", label_column="quality")
+    return _ranked(ranker, [HashEncoder("hash-8", 3, 8), HashEncoder("hash-4", 3, 4)], spark, estimator="hscore")
+
+
+@query()
+def ranker_run_words(spark, sf_dir):
+    """Three tagged words of each vector's row; two stored encoders, one of which shows the tag."""
+    rows = tagged(spark, sf_dir).withColumn("tokens", F.array(*map(F.lit, "abc")))
+    ranker = ModelRanker(rows, text_column="tokens", label_column="tags", row_id="row_id", label_map={n: i for i, n in enumerate(TAGS)})
+    i, word, layer = F.col("vec_id"), F.col("word_id"), F.col("layer")
+    tokens = table(spark, sf_dir, "embeddings").withColumn("word_id", F.explode(F.array(*map(F.lit, range(3))))).withColumn("layer", F.explode(F.array(*map(F.lit, range(2)))))
+    shown = F.floor(((i + word) % 9 + 1) / 2).cast("double")
+
+    def stored(name: str, strength: float) -> TableEncoder:
+        vec = F.transform(F.slice("embedding", layer * 8 + 1, 8).cast("array<double>"), lambda x, k: x + F.when(k == 0, strength * (layer + 1) * shown).otherwise(0.0))
+        return TableEncoder(name, tokens.select(F.lit(name).alias("model"), i.alias("row_id"), word.alias("tok_pos"), "word_id", "layer", vec.alias("vec")), 2)
+
+    return _ranked(ranker, [stored("plain", 0.0), stored("telling", 0.3)], spark, estimator="logme")

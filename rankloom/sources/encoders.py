@@ -8,11 +8,13 @@ models themselves are not part of this library: `TableEncoder` reads vectors tha
 
 from __future__ import annotations
 
+import importlib.util
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,13 @@ TOKENS = "model string, row_id long, tok_pos int, word_id int, layer int, vec ar
 
 
 class Encoder(ABC):
-    """A named model with a number of layers."""
+    """A named model with a number of layers.
+
+    `pre_tokenizer`, a function of a text column that gives an array of words, takes the place of the default one.
+    """
+
+    batch_size: int = 32
+    pre_tokenizer: Callable[[Column], Column] | None = None
 
     def __init__(self, name: str, n_layers: int) -> None:
         self.name, self.n_layers = name, n_layers
@@ -33,7 +41,7 @@ class Encoder(ABC):
 
     def encode(self, data: DataFrame, text: str, layers: list[int], row_id: str = "row_id") -> DataFrame:
         """The token table of texts or token lists."""
-        words = F.col(text) if isinstance(data.schema[text].dataType, T.ArrayType) else whitespace_tokens(F.col(text))
+        words = F.col(text) if isinstance(data.schema[text].dataType, T.ArrayType) else (self.pre_tokenizer or whitespace_tokens)(F.col(text))
         return self.tokens(data.select(F.col(row_id).alias("row_id"), words.alias("words")), layers)
 
 
@@ -60,7 +68,8 @@ class TableEncoder(Encoder):
 
     def __init__(self, name: str, table: DataFrame, n_layers: int) -> None:
         super().__init__(name, n_layers)
-        self.table = table
+        whole = isinstance(table.schema["row_id"].dataType, T.IntegralType)
+        self.table = table if whole else table.withColumn("row_id", F.xxhash64("row_id"))
 
     def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
         mine = self.table.where((F.col("model") == self.name) & F.col("layer").isin(layers))
@@ -75,28 +84,72 @@ class FunctionEncoder(Encoder):
 
     It takes (lists of words, layers) and gives, for each text, (word number or None, {layer: vector}) of each
     token.  With `load`, a function without arguments, the function gets what that returns as its first
-    argument; each Python worker loads it once.
+    argument; each Python worker loads it once.  At most `batch_size` texts go to a call, and their vectors go on as
+    one Arrow batch.
     """
 
-    def __init__(self, name: str, n_layers: int, function: Callable, load: Callable | None = None) -> None:
+    def __init__(self, name: str, n_layers: int, function: Callable, load: Callable | None = None, batch_size: int = 32) -> None:
         super().__init__(name, n_layers)
-        self.function, self.load = function, load
+        self.function, self.load, self.batch_size = function, load, batch_size
 
     def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
-        name, function, load = self.name, self.function, self.load
+        name, function, load, size = self.name, self.function, self.load, max(1, self.batch_size)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if load is not None and name not in _loaded:
                 _loaded[name] = load()
             first = () if load is None else (_loaded[name],)
-            for pdf in batches:
-                made = function(*first, [list(w) for w in pdf.words], layers)
-                rows = [(name, i, pos, word, layer, [float(x) for x in vec]) for i, tokens in zip(pdf.row_id, made) for pos, (word, by_layer) in enumerate(tokens) for layer, vec in by_layer.items()]
-                out = pd.DataFrame(rows, columns=["model", "row_id", "tok_pos", "word_id", "layer", "vec"])
-                out["word_id"] = out["word_id"].astype("Int32")
-                yield out
-
-        return texts.mapInPandas(run, TOKENS)
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    made = function(*first, part.column(1).to_pylist(), layers)
+                    rows, vectors = [], []
+                    for i, tokens in zip(part.column(0).to_pylist(), made):
+                        for pos, (word, by_layer) in enumerate(tokens):
+                            rows += [(i, pos, word, layer) for layer in by_layer]
+                            vectors += by_layer.values()
+                    if rows:
+                        yield _token_batch(name, rows, vectors)
+
+        return texts.select("row_id", "words").mapInArrow(run, TOKENS)
+
+
+def _token_batch(name: str, rows: list[tuple], vectors: list) -> pa.RecordBatch:
+    flat = [np.asarray(v, np.float64).ravel() for v in vectors]
+    offsets = np.append(0, np.cumsum([len(v) for v in flat])).astype(np.int32)
+    row_id, pos, word, layer = zip(*rows)
+    columns = [pa.array([name] * len(rows)), pa.array(row_id, pa.int64()), pa.array(pos, pa.int32()), pa.array(word, pa.int32()), pa.array(layer, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TOKENS.split(", ")])
+
+
+class TransformerEncoder(FunctionEncoder):
+    """A public language model by name, where the packages `transformers` and `torch` are installed on all nodes.
+
+    Model and tokenizer (the model's own, or `tokenizer` by name) load once a worker; texts are cut at `max_length`
+    subwords.  Whether the packages are there is asked before any job runs.
+    """
+
+    def __init__(self, name: str, n_layers: int, tokenizer: str | None = None, max_length: int = 512, batch_size: int = 32) -> None:
+        missing = [x for x in ("transformers", "torch") if importlib.util.find_spec(x) is None]
+        if missing:
+            raise ImportError(f"{name} needs the packages {missing}; give vectors by TableEncoder or a function by FunctionEncoder")
+
+        def load():
+            import torch
+            from transformers import AutoModel, AutoTokenizer
+
+            return AutoTokenizer.from_pretrained(tokenizer or name, use_fast=True, add_prefix_space=True), AutoModel.from_pretrained(name, output_hidden_states=True).eval(), torch
+
+        def encode(loaded, words, layers):
+            subwords, model, torch = loaded
+            fed = subwords(words, is_split_into_words=True, truncation=True, max_length=max_length, padding=True, return_tensors="pt")
+            with torch.no_grad():
+                hidden = model(**fed).hidden_states[-n_layers:]
+            for i in range(len(words)):
+                places = [k for k, real in enumerate(fed["attention_mask"][i].tolist()) if real]
+                yield [(fed.word_ids(i)[k], {layer: hidden[layer][i, k].numpy() for layer in layers}) for k in places]
+
+        super().__init__(name, n_layers, encode, load, batch_size)
 
 
 _registry: dict[str, Callable[[], Encoder]] = {}

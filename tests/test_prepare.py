@@ -114,7 +114,32 @@ def test_prepares_splits_and_tokens(spark, custom):
     assert sorted((r["word_pos"], r["label"]) for r in made.targets().collect()) == [(0, 0), (0, 0), (1, 1)]
 
 
-def test_row_ids_do_not_depend_on_partitions(custom):
+def test_row_ids_are_unique_and_samples_do_not_depend_on_partitions(custom):
     twice = custom.unionAll(custom)
-    ids = sorted(r["row_id"] for r in prepare.with_row_id(twice).collect())
-    assert len(set(ids)) == 10 and ids == sorted(r["row_id"] for r in prepare.with_row_id(twice.repartition(5)).collect())
+    numbered = prepare.with_row_id(twice)
+    ids = sorted(r["row_id"] for r in numbered.collect())
+    assert len(set(ids)) == 10 and ids == sorted(r["row_id"] for r in numbered.collect())
+    samples = []
+    for some in (twice, twice.repartition(5), twice.repartition(1)):
+        got = prepare.Preparer(dataset_downsample=0.5)(some)
+        samples.append(sorted((r[got.text], r[got.label]) for r in got.data.collect()))
+    assert samples[0] == samples[1] == samples[2] and len(samples[0]) <= 5
+
+
+def test_keys_of_any_type_must_be_unique(spark):
+    rows = [(f"k{i}", f"text {i}", i % 2) for i in range(20)]
+    made = prepare.with_row_id(spark.createDataFrame(rows, "k string, text string, label int"), "k")
+    assert made.schema["row_id"].dataType.typeName() == "long" and made.select("row_id").distinct().count() == 20
+    for more in (("k3", "again", 1), (None, "none", 0)):
+        with pytest.raises(ValueError, match="keys"):
+            prepare.with_row_id(spark.createDataFrame([*rows, more], "k string, text string, label int"), "k")
+
+
+def test_sample_looks_into_crowded_bins(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "EDGE_ROWS", 1)
+    df = spark.range(3000).withColumnRenamed("id", "row_id")
+    crowded = prepare.downsample(df, 0.3)
+    monkeypatch.undo()
+    assert crowded.count() == 900 and sorted(map(tuple, crowded.collect())) == sorted(map(tuple, prepare.downsample(df, 0.3).collect()))
+    same = df.withColumn("text", F.lit("x"))
+    assert prepare.downsample(same, 0.5, on=F.xxhash64("text")).count() == 1500

@@ -32,3 +32,8 @@ def test_concat_splits_keeps_every_language(spark, tmp_path):
         spark.createDataFrame(some, "doc_id long, lang string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
         got = QUERIES["concat_splits"](spark, f"{tmp_path}/{k}").select("doc_id", "lang", "split").collect()
         assert sorted(map(tuple, got), key=repr) == sorted(((*r, r[1]) for r in some), key=repr)
+
+
+def test_ranker_runs_prefer_the_telling_encoder(spark):
+    rows = QUERIES["ranker_run_words"](spark, SF).collect()
+    assert {(r["layer_aggregator"], r["model"]) for r in rows if r["rank"] == 1} == {(a, "telling") for a in ("bestlayer", "lastlayer", "layermean")}

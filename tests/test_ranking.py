@@ -121,3 +121,46 @@ def test_registered_and_loaded_encoders(texts):
     assert set(ranker.run(["named", own, "named"], "logme").scores) == {"named", "loaded"}
     with pytest.raises(ValueError):
         ranker.run(["unknown"])
+
+
+def test_each_model_reads_each_text_once(spark, tmp_path):
+    """Whatever passes an estimator takes; calls hold at most `batch_size` texts."""
+    from rankloom import ModelRanker
+    from rankloom.sources.encoders import FunctionEncoder
+
+    log = str(tmp_path / "calls")
+
+    def encode(words, layers):
+        with open(log, "a") as f:
+            f.write(f"{len(words)}\n")
+        return [[(i, {layer: [len(w) + layer, i, len(w) ** 2 % 7] for layer in layers}) for i, w in enumerate(text)] for text in words]
+
+    rows = [(i, " ".join(["ab", "cde", "f" * (i % 5 + 1)]), i % 3) for i in range(90)]
+    data = spark.createDataFrame(rows, "id long, text string, label int").repartition(3)
+    ranker = ModelRanker(data, row_id="id")
+    for estimator in ("hscore", "logme", "knn"):
+        open(log, "w").close()
+        result = ranker.run([FunctionEncoder("f", 2, encode)], estimator=estimator, layer_aggregator="bestlayer", batch_size=7, subword_pooling="first")
+        calls = [int(x) for x in open(log)]
+        assert sum(calls) == 90 and max(calls) <= 7 and len(result.layerwise_scores["f"]) == 2
+
+
+def test_models_that_need_absent_packages_fail_early():
+    import importlib.util
+
+    from rankloom.sources.encoders import TransformerEncoder
+
+    if importlib.util.find_spec("transformers") is None:
+        with pytest.raises(ImportError, match="transformers"):
+            TransformerEncoder("some-model", 12)
+
+
+def test_pre_tokenizer_of_the_user(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.sources.encoders import HashEncoder
+
+    encoder = HashEncoder(dim=2)
+    encoder.pre_tokenizer = lambda text: F.split(text, "-")
+    df = spark.createDataFrame([(1, "a-b-c")], "row_id long, text string")
+    assert {r["word_id"] for r in encoder.encode(df, "text", [0]).collect()} == {0, 1, 2}
