@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, fresh, lookup, need
+from .common import KEY, SPACE_CLASS, cut, fresh, lookup, need, row_key, small
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -79,27 +79,36 @@ def host_verdicts(rows: DataFrame, host: str, max_host_rate: float = MAX_HOST_RA
     return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > max_host_rate)
 
 
-def apply_verdicts(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
+def apply_verdicts(rows: DataFrame, hosts: DataFrame, host: str, bound: int | None = None) -> DataFrame:
     """Rows with base_failed, joined to the verdicts of their hosts: host_docs, host_failed, host_rate, host_rejected, kept."""
     named = rows.withColumn("__host", F.coalesce(F.col(host), F.lit("")))
-    return lookup(named, hosts, ["__host"], row_bytes=256).drop("__host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return lookup(named, hosts, ["__host"], bound=bound).drop("__host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE, bound: int | None = None) -> DataFrame:
     """doc_id, host, metrics and verdicts of each document; the texts are read once and not carried on."""
     need(docs, "doc_id", host, text)
     rows = cut(with_metrics(docs.select("doc_id", host, text), text).drop(text))
-    return apply_verdicts(rows, host_verdicts(rows, host, max_host_rate), host)
+    return apply_verdicts(rows, host_verdicts(rows, host, max_host_rate), host, bound)
 
 
 def digest(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("doc_id", *METRICS, "base_failed", "kept", "host_docs", "host_failed", "host_rejected")
 
 
-def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass, with their columns. Two readings of the texts cost less here than a shuffle of them."""
-    need(docs, host, text)
-    renamed = docs.select(F.col(host).alias("__h"), F.col(text).alias("__t"), F.struct("*").alias("__row"))
-    rows = with_metrics(renamed, "__t").drop("__t")
-    kept = apply_verdicts(rows, host_verdicts(rows.select("__h", "base_failed"), "__h", max_host_rate), "__h")
-    return kept.where("kept").select("__row.*")
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE, bound: int | None = None) -> DataFrame:
+    """The documents that pass, with their columns.
+
+    The texts are judged once; the keys of the rejected rows, while within the bound of a broadcast, strike them out.
+    Beyond it the rule is worked out again on the second reading, which costs less than a shuffle of the texts.
+    """
+    need(docs, "doc_id", host, text)
+    key = list(KEY)
+    keyed = docs.select(*row_key(F.col("doc_id"), F.col(text), F.col(host)), F.col(host).alias("__h"), F.col(text).alias("__t"), F.struct("*").alias("__row"))
+    rows = with_metrics(keyed, "__t").drop("__t")
+    judged = cut(rows.select(*key, "__h", "base_failed"))
+    hosts = host_verdicts(judged, "__h", max_host_rate)
+    bad = cut(apply_verdicts(judged, hosts, "__h", bound).where("not kept").select(*key).distinct(), 8)
+    if small(bad, bound):
+        return keyed.join(F.broadcast(bad), key, "left_anti").select("__row.*")
+    return apply_verdicts(rows, hosts, "__h", bound).where("kept").select("__row.*")
