@@ -53,13 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents.  A stage's table is removed as soon as the next one is written."""
     folder = f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         rows = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return rows
         rows.write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if before:
+            common.remove_folder(spark, before)
+        before = f"{folder}/{i}-{name}"
     return docs
