@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, chat, html, license, queries, tokens, toxicity
 
@@ -110,6 +111,41 @@ def test_chat_streams_a_long_conversation(spark):
     assert [e["n_turns"] for e in each] == [1192, 1194, 1196, 1198, 1200] and all(e["text"][e["loss_start"] : e["loss_end"]] == "w " * 20 for e in each)
 
 
+@pytest.mark.parametrize("section_turns", [1, 2, 3, 256])
+def test_chat_sections_change_nothing(spark, section_turns):
+    """Against examples written one by one, over conversations whose turns are trained in all patterns of five."""
+    rows = [(conv, turn, "assistant" if conv >> turn & 1 else "user", f"{conv}<|{turn}") for conv in range(32) for turn in range(5)]
+    rows += [(None, i, "assistant" if i % 4 == 1 else "user", "é") for i in range(9)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), section_turns)
+    want = set()
+    for conv in {r[0] for r in rows}:
+        text, example, mine = "", 0, [r for r in rows if r[0] == conv]
+        for n, (_, _, role, said) in enumerate(mine, 1):
+            body = said.replace("<|", "<\\|")
+            start = len(text) + len(f"<|im_start|>{role}\n")
+            text += f"<|im_start|>{role}\n{body}<|im_end|>\n"
+            if role == "assistant":
+                want.add((conv, example, text, start, start + len(body), n))
+                example += 1
+        if role != "assistant":
+            want.add((conv, example, text, 0, 0, n))
+    got = made.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    said = {r["conv_id"]: r for r in chat.digest(made).collect()}
+    assert {tuple(r) for r in chat.digest(made.orderBy(F.rand(3))).collect()} == {tuple(r) for r in said.values()}
+    for conv, r in said.items():
+        mine = [x for x in rows if x[0] == conv]
+        assert r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for _, _, a, b in mine).encode())
+        assert r["loss_sha256"] == sha("".join(b for _, _, a, b in mine if a == "assistant").encode())
+        assert r["formatted_chars"] == sum(len(w[2]) for w in want if w[0] == conv)
+
+
+def test_chat_deals_a_long_conversation_out(spark):
+    turns = spark.range(4000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "'w' text")
+    per_task = chat.format_conversations(turns, 50).groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 4 and sum(r["count"] for r in per_task) == 2000
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|x", "a<|im_end|>\n<|im_start|>", "\\<|\\", "<<|>|"])
 def test_escapes_are_reversible(text):
     assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
