@@ -27,6 +27,11 @@ LABEL_KEYWORDS = ["label", "ner_tag", "named_entities", "entities", "tag", "targ
 
 ROW_ID, SPLIT, LABEL = "row_id", "split", "label"
 
+#: Labels up to which a label map is a literal of the plan; a longer one is a table that is joined.
+MANY_LABELS = 200
+#: Largest label map, in bytes of its names and indexes, that is sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
 
 class Task(str, Enum):
     TOKEN_CLASSIFICATION = "token classification"
@@ -160,19 +165,35 @@ def label_map(df: DataFrame, label: str) -> dict[str, int]:
     return {r["name"]: r["idx"] for r in label_table(df, label).collect()}
 
 
-def encode_labels(df: DataFrame, label: str, mapping: dict[str, int]) -> DataFrame:
-    """String labels, alone or in lists, become their indexes; integer labels stay as they are."""
+def encode_labels(df: DataFrame, label: str, mapping: dict[str, int], bound: int = BROADCAST_BYTES) -> DataFrame:
+    """String labels, alone or in lists, become their indexes; integer labels stay as they are.
+
+    A map of over `MANY_LABELS` labels is joined to single labels: broadcast within the bound, shuffled beyond it.
+    Tags in lists are looked up in the map itself, whatever its length.
+    """
     kind = df.schema[label].dataType
     if not mapping:
         return df
-    lookup = L.map_column(mapping)
     if isinstance(kind, T.StringType):
-        return df.withColumn(label, _known(F.element_at(lookup, F.col(label)), F.col(label)))
+        if len(mapping) > MANY_LABELS:
+            return _join_labels(df, label, mapping, bound)
+        return df.withColumn(label, _known(F.element_at(L.map_column(mapping), F.col(label)), F.col(label)))
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        lookup = L.map_column(mapping)
         return df.withColumn(label, F.transform(label, lambda x: _known(F.element_at(lookup, x), x)))
     return df
 
 
+def _join_labels(df: DataFrame, label: str, mapping: dict[str, int], bound: int) -> DataFrame:
+    table = df.sparkSession.createDataFrame(list(mapping.items()), "name string, idx int").select(F.struct("name", "idx").alias("entry"))
+    if sum(len(name.encode()) + 64 for name in mapping) <= bound:
+        table = F.broadcast(table)
+    rows = df.select(F.struct("*").alias("row"))
+    joined = rows.join(table, rows["row"][label] == table["entry"]["name"], "left")
+    old = F.col("row").getField(label)
+    return joined.select(*((_known(F.col("entry.idx"), old) if c == label else F.col("row").getField(c)).alias(c) for c in df.columns))
+
+
 def _known(found: Column, value: Column) -> Column:
     """The mapped value; a value that the map lacks fails the job."""
     return F.when(found.isNull() & value.isNotNull(), F.raise_error(F.concat(F.lit("label not in the label map: "), value.cast("string"))).cast("int")).otherwise(found)
@@ -230,7 +251,7 @@ class Preparer:
         elif isinstance(dataset, DataFrame):
             df = dataset
         else:
-            raise ValueError(f"Unsupported dataset type: {type(dataset)}")
+            raise ValueError(f"a dataset is a DataFrame or a dictionary of them, not {type(dataset).__name__}")
         columns = [c for c in df.columns if c not in (SPLIT, self.row_id)]
         text = self.text_column or find_column(columns, "text")
         label = self.label_column or find_column(columns, "label")

@@ -79,6 +79,18 @@ def test_rejects_null_labels_when_inferring(spark):
         Preparer()("trec")
 
 
+@pytest.mark.parametrize("bound", [0, prepare.BROADCAST_BYTES])
+def test_long_label_maps_are_joined(spark, bound):
+    df = spark.range(3000).selectExpr("id", "if(id % 100 = 7, null, concat('l', id % 1000)) label", "'x' name", "id idx")
+    mapping = {f"l{i}": i for i in range(1000)}
+    made = prepare.encode_labels(df, "label", mapping, bound)
+    assert ("BroadcastHashJoin" in made._jdf.queryExecution().toString()) == bool(bound)  # as planned, before any row is read
+    assert made.columns == df.columns and dict(made.dtypes)["label"] == "int"
+    assert {(r["id"], r["label"]) for r in made.collect()} == {(i, None if i % 100 == 7 else i % 1000) for i in range(3000)}
+    with pytest.raises(Exception, match="not in the label map"):
+        prepare.encode_labels(df, "label", {k: v for k, v in mapping.items() if v != 5}, bound).collect()
+
+
 def test_label_maps(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "label string")
     mapping = prepare.label_map(df, "label")
