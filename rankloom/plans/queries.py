@@ -431,17 +431,22 @@ for _metric in (HScore, LogME, NearestNeighbors):
 def _ranked(ranker, models, spark, **options) -> DataFrame:
     """(estimator, layer_aggregator, rank, model, score) of runs with each way to reduce layers."""
     rows = []
-    for aggregator in ranking.AGGREGATORS:
-        result = ranker.run(models, layer_aggregator=aggregator, **options)
+    for aggregator, result in zip(ranking.AGGREGATORS, ranker.runs(models, list(ranking.AGGREGATORS), **options)):
         rows += [(result.metric, aggregator, i, model, float(score)) for i, (model, score) in enumerate(result.ranked, 1)]
     return spark.createDataFrame(rows, "estimator string, layer_aggregator string, rank int, model string, score double")
 
 
+def labelled(spark, sf_dir, bound: int = prepare.BROADCAST_BYTES) -> DataFrame:
+    """Texts with their quality. Labels within the bound, at 32 bytes a row, go to the texts, which then stay where they are."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(labels) if labels.count() * 32 <= bound else labels, "doc_id")
+
+
 @query()
 def ranker_run_texts(spark, sf_dir):
     """Labelled documents, half of them, by two encoders of three layers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    ranker = ModelRanker(docs, dataset_downsample=0.5, text_column="text", label_column="quality")
+    ranker = ModelRanker(labelled(spark, sf_dir), dataset_downsample=0.5, text_column="text", label_column="quality")
     return _ranked(ranker, [HashEncoder("hash-8", 3, 8), HashEncoder("hash-4", 3, 4)], spark, estimator="hscore")
 
 

@@ -33,11 +33,9 @@ class Embedder:
 
     def embed_table(self, texts: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
         """(model, row_id, layer[, word_id], vec) of a table of texts or token lists."""
-        tokens = self.encoder.encode(texts, text, self.layers, row_id)
-        if self.layer_mean:
-            tokens = pooling.layer_mean(tokens, ["model", "row_id", "tok_pos", "word_id"])
-        words = pooling.pool_words(tokens, self.subword_pooling)
-        return pooling.pool_texts(words, self.sentence_pooling) if self.sentence_pooling else words
+        wide = self.encoder.wide
+        tokens = self.encoder.encode(texts, text, self.layers, row_id, **({"wide": True} if wide else {}))
+        return pooling.pool(tokens, self.subword_pooling, self.sentence_pooling, self.layer_mean, self.encoder.gathered, self.layers if wide else None)
 
     def embed(self, spark: SparkSession, sentences: str | list[str] | list[list[str]]) -> DataFrame:
         """The same for texts at hand: one text, several texts, or several token lists; row_id is the place in the list."""

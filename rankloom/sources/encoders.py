@@ -21,15 +21,21 @@ from pyspark.sql import types as T
 from ..functions.text import whitespace_tokens
 
 TOKENS = "model string, row_id long, tok_pos int, word_id int, layer int, vec array<double>"
+#: Numbers up to which the hash vectors of a token are written out in the plan, which compiles them.
+COMPILED = 128
 
 
 class Encoder(ABC):
     """A named model with a number of layers.
 
     `pre_tokenizer`, a function of a text column that gives an array of words, takes the place of the default one.
+    `gathered` says that the tokens of a text follow each other in one partition, so that pooling shuffles nothing;
+    `wide`, that `wide_tokens` gives all layers of a token as one row.
     """
 
     batch_size: int = 32
+    gathered: bool = False
+    wide: bool = False
     pre_tokenizer: Callable[[Column], Column] | None = None
 
     def __init__(self, name: str, n_layers: int) -> None:
@@ -39,28 +45,51 @@ class Encoder(ABC):
     def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
         """The token table of (row_id, words array<string>) for some layers."""
 
-    def encode(self, data: DataFrame, text: str, layers: list[int], row_id: str = "row_id") -> DataFrame:
+    def wide_tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
+        """The same without the layer: vec has these layers, one after the other."""
+        raise NotImplementedError
+
+    def encode(self, data: DataFrame, text: str, layers: list[int], row_id: str = "row_id", wide: bool = False) -> DataFrame:
         """The token table of texts or token lists."""
         words = F.col(text) if isinstance(data.schema[text].dataType, T.ArrayType) else (self.pre_tokenizer or whitespace_tokens)(F.col(text))
-        return self.tokens(data.select(F.col(row_id).alias("row_id"), words.alias("words")), layers)
+        return (self.wide_tokens if wide else self.tokens)(data.select(F.col(row_id).alias("row_id"), words.alias("words")), layers)
 
 
 class HashEncoder(Encoder):
     """Vectors from hashes of subwords: pieces of `piece` letters; equal pieces have equal vectors."""
 
+    gathered = wide = True
+
     def __init__(self, name: str = "hash", n_layers: int = 2, dim: int = 16, piece: int = 4, max_length: int = 512) -> None:
         super().__init__(name, n_layers)
         self.dim, self.piece, self.max_length = dim, piece, max_length
 
-    def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
+    def pieces(self, texts: DataFrame) -> DataFrame:
         size = F.lit(self.piece)
         cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(w), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(w, i * size + 1, size))
-        pieces = F.flatten(F.transform("words", lambda w, i: F.transform(cut(w), lambda p: F.struct(p.alias("piece"), i.alias("word_id")))))
-        rows = texts.select("row_id", F.posexplode(F.slice(pieces, 1, self.max_length)).alias("tok_pos", "t"))
-        rows = rows.withColumn("layer", F.explode(F.array(*map(F.lit, layers))))
-        unit = lambda i: F.pmod(F.xxhash64(F.lit(self.name), "t.piece", "layer", i), F.lit(20011)) / 10005.0 - 1.0
-        vec = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), unit)
-        return rows.select(F.lit(self.name).alias("model"), "row_id", "tok_pos", F.col("t.word_id").cast("int").alias("word_id"), "layer", vec.alias("vec"))
+        # Each word has a piece at least, so words beyond as many have none within the length.
+        words = F.slice("words", 1, self.max_length)
+        pieces = F.flatten(F.transform(words, lambda w, i: F.transform(cut(w), lambda p: F.struct(p.alias("piece"), i.alias("word_id")))))
+        return texts.select("row_id", F.posexplode(F.slice(pieces, 1, self.max_length)).alias("tok_pos", "t"))
+
+    def unit(self, layer: Column, i: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.name), "t.piece", layer, i), F.lit(20011)) / 10005.0 - 1.0
+
+    def table(self, rows: DataFrame, layer: list[Column], vec: Column) -> DataFrame:
+        return rows.select(F.lit(self.name).alias("model"), "row_id", "tok_pos", F.col("t.word_id").cast("int").alias("word_id"), *layer, vec.alias("vec"))
+
+    def tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
+        rows = self.pieces(texts).withColumn("layer", F.explode(F.array(*map(F.lit, layers))))
+        vec = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: self.unit(F.col("layer"), i))
+        return self.table(rows, [F.col("layer")], vec)
+
+    def wide_tokens(self, texts: DataFrame, layers: list[int]) -> DataFrame:
+        if len(layers) * self.dim <= COMPILED:
+            vec = F.array(*(self.unit(F.lit(layer), F.lit(i)) for layer in layers for i in range(self.dim)))
+        else:
+            # A function over numbers is interpreted, but keeps the plan short.
+            vec = F.flatten(F.transform(F.array(*map(F.lit, layers)), lambda layer: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: self.unit(layer, i))))
+        return self.table(self.pieces(texts), [], vec)
 
 
 class TableEncoder(Encoder):
@@ -88,6 +117,8 @@ class FunctionEncoder(Encoder):
     one Arrow batch.
     """
 
+    gathered = True
+
     def __init__(self, name: str, n_layers: int, function: Callable, load: Callable | None = None, batch_size: int = 32) -> None:
         super().__init__(name, n_layers)
         self.function, self.load, self.batch_size = function, load, batch_size

@@ -37,3 +37,18 @@ def test_concat_splits_keeps_every_language(spark, tmp_path):
 def test_ranker_runs_prefer_the_telling_encoder(spark):
     rows = QUERIES["ranker_run_words"](spark, SF).collect()
     assert {(r["layer_aggregator"], r["model"]) for r in rows if r["rank"] == 1} == {(a, "telling") for a in ("bestlayer", "lastlayer", "layermean")}
+
+
+def test_labels_within_the_bound_go_to_the_texts(spark):
+    from rankloom.plans.queries import labelled
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    try:
+        spark.conf.set(threshold, "1k")
+        sent, dealt = labelled(spark, SF), labelled(spark, SF, bound=0)
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan(sent) and "Exchange hashpartitioning" not in plan(sent) and "SortMergeJoin" in plan(dealt)
+        assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, dealt.collect()))
+    finally:
+        spark.conf.set(threshold, before)

@@ -164,3 +164,74 @@ def test_pre_tokenizer_of_the_user(spark):
     encoder.pre_tokenizer = lambda text: F.split(text, "-")
     df = spark.createDataFrame([(1, "a-b-c")], "row_id long, text string")
     assert {r["word_id"] for r in encoder.encode(df, "text", [0]).collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("sentence", [None, "first", "last", "mean", "weighted_mean"])
+def test_pooling_at_once_equals_its_steps(spark, sentence):
+    """Texts that span Arrow batches too, and tokens without a word."""
+    rows = spark.range(0, 40, numPartitions=3).withColumn("tok_pos", F.explode(F.sequence(F.lit(0), (F.col("id") % 7 * 3 + F.when(F.col("id") == 20, 9000).otherwise(1)).cast("int"))))
+    rows = rows.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(2), F.lit(1))))
+    word = F.when(F.col("tok_pos") % 5 > 0, (F.col("tok_pos") / 3).cast("int"))
+    vec = F.array(*((F.pmod(F.xxhash64("id", "tok_pos", "layer", F.lit(i)), F.lit(1000)) / 1000.0) for i in range(2)))
+    tokens = rows.select(F.lit("m").alias("model"), F.col("id").alias("row_id"), "tok_pos", word.alias("word_id"), "layer", vec.alias("vec"))
+    for mean_of_layers in (False, True):
+        for how in ("first", "last", "mean"):
+            steps = pooling.layer_mean(tokens, ["model", "row_id", "tok_pos", "word_id"]) if mean_of_layers else tokens
+            steps = pooling.pool_words(steps, how)
+            want = pooling.pool_texts(steps, sentence) if sentence else steps
+            got = [pooling.pool(tokens, how, sentence, mean_of_layers, gathered=True), pooling.pool(tokens.orderBy("tok_pos"), how, sentence, mean_of_layers)]
+            key = lambda r: (r["row_id"], r["layer"], r.asDict().get("word_id"))
+            want = {key(r): r["vec"] for r in want.collect()}
+            for made in got:
+                made = made.collect()
+                assert len(made) == len(want) and all(r["vec"] == pytest.approx(want[key(r)], abs=1e-12) for r in made)
+    with pytest.raises(ValueError):
+        pooling.pool(tokens, "weighted_mean")
+    with pytest.raises(ValueError):
+        pooling.pool(tokens, "mean", "other")
+
+
+def test_tokens_of_a_text_are_pooled_where_they_are_made(spark):
+    """Vectors of tokens are not shuffled, only those of stored tables are, once."""
+    texts = spark.createDataFrame([(i, "some words of a text") for i in range(8)], "row_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for encoder, shuffles in ((HashEncoder("a", 3, dim=4), 0), (FunctionEncoder("f", 3, lambda words, layers: []), 0)):
+        assert plan(Embedder(encoder, sentence_pooling="mean", layer_mean=True).embed_table(texts)).count("Exchange ") == shuffles
+
+
+@pytest.mark.parametrize("mean_of_layers", [False, True])
+def test_wide_tokens_pool_as_layer_rows(spark, mean_of_layers):
+    """Compiled and interpreted; texts of more words than the encoder takes."""
+    from rankloom.sources import encoders
+
+    rows = [(i, ["abcdefgh", "", "xyz12", "ab"] * (i % 5 * 4 + 1)) for i in range(30)]
+    texts, encoder, layers = spark.createDataFrame(rows, "row_id long, words array<string>"), HashEncoder("a", 3, dim=3, max_length=20), [0, 2]
+    bound = encoders.COMPILED
+    for sentence in (None, "weighted_mean"):
+        want = pooling.pool(encoder.tokens(texts, layers), "mean", sentence, mean_of_layers).collect()
+        for encoders.COMPILED in (bound, 0):
+            wide = encoder.wide_tokens(texts, layers)
+            compiled = "lambdafunction" not in wide.select("vec")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+            assert compiled == (encoders.COMPILED > 0)
+            got = pooling.pool(wide, "mean", sentence, mean_of_layers, gathered=True, layers=layers).collect()
+            key = lambda r: (r["row_id"], r["layer"], r.asDict().get("word_id"))
+            assert sorted(map(key, got)) == sorted(map(key, want))
+            vectors = {key(r): r["vec"] for r in want}
+            assert all(r["vec"] == pytest.approx(vectors[key(r)], abs=1e-12) for r in got)
+    encoders.COMPILED = bound
+
+
+def test_runs_equal_single_runs_and_read_texts_once(texts):
+    ranker = ModelRanker(texts, label_column="quality", row_id="doc_id")
+    ways, models, read = ["bestlayer", "lastlayer", "layermean"], [HashEncoder("a", 3, dim=4), HashEncoder("b", 2)], []
+    units = ranker.units
+    ranker.units = lambda m, *a: read.append(m.name) or units(m, *a)
+    together = ranker.runs(models, ways, "logme")
+    assert read == ["a", "b"]
+    for way, result in zip(ways, together):
+        alone = ranker.run(models, "logme", way)
+        assert [m for m, _ in result.ranked] == [m for m, _ in alone.ranked]
+        for model in "ab":
+            assert result.layerwise_scores[model] == pytest.approx(alone.layerwise_scores[model], abs=1e-9)
+    own = FunctionEncoder("f", 2, lambda words, layers: [[(i, {layer: [len(w), layer + 1.0] for layer in layers}) for i, w in enumerate(text)] for text in words])
+    assert len(ranker.runs([own, models[0]], ["lastlayer", "bestlayer"], "logme")[1].layerwise_scores["f"]) == 2
